@@ -1,0 +1,352 @@
+"""Each operator against a plain version on small fixtures, with nulls, ties, repeats, empty tables and clashing columns."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from attesta.llm import binary, common, decontaminate, jaccard, packing, quality, secrets, sharding, spans, tokens, warc
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, salt string, node int, at int"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["alpha", "beta", "Gamma", "delta", "épée", "die", "of", "the"]) + str(rng.randrange(400)) * rng.randrange(2) for _ in range(n)) + "."
+
+
+def fixture(seed=3):
+    """Long and short texts, exact and near copies, shared passages; nulls, blanks and repeated rows."""
+    rng = random.Random(seed)
+    out = [(i, prose(rng, rng.randrange(1, 400))) for i in range(40)]
+    passage = prose(rng, 70)
+    for i in range(40, 60):
+        out.append((i, prose(rng, 30) + " " + passage + "\n" + prose(rng, 30)))
+    base = prose(rng, 150).split(" ")
+    for i in range(60, 90):
+        w = list(base)
+        w[rng.randrange(150)] = f"new{i}"
+        out.append((i, " ".join(w)))
+    out += [(i, out[7][1]) for i in range(90, 100)] + [(100, None), (101, ""), (102, " \n\t "), (None, out[7][1]), (103, "one"), (104, "one"), (105, prose(rng, 9000)), (7, out[7][1])]
+    rng.shuffle(out)
+    return [(i, t, "x", 1, 2) for i, t in out]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return fixture()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# ---------------------------------------------------------------- 1
+def test_quality_base(docs, rows, none):
+    got = Counter(tuple(r)[:6] for r in quality.quality_figures(docs).collect())
+    want = Counter()
+    for i, t, *_ in rows:
+        w, t = words(t), t or ""
+        tri = Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = {p + k for p in range(len(w) - 2) if tri[tuple(w[p : p + 3])] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        want[i, len(w), sum(map(len, w)), sum(c in quality.SYMBOLS for c in t), sum(x in lines[:k] for k, x in enumerate(lines)), len(cover)] += 1
+    assert got == want
+    assert quality.quality_figures(none).count() == 0 and quality.clean_documents(none).count() == 0
+
+
+def test_quality_lines():
+    good = " ".join(f"word{i}" for i in range(60)) + "."
+    r = quality.judge(good + "\nHome | About | Contact\nAll rights reserved.\n\nNext\n" + good.replace("word", "other"))
+    assert r["clean_text"] == good + "\n\n" + good.replace("word", "other") and r["kept"] and r["n_lines_failed"] == 3
+    assert not quality.judge(good + "\n" + " ".join(f"w{i}###" for i in range(60)))["kept"]
+    assert not quality.judge(None)["kept"] and quality.judge("a b a b a b a b a b")["n_repeat_words"] == 10
+
+
+# ---------------------------------------------------------------- 2
+def test_warc(spark, tmp_path):
+    big, other = "<p>é</p>" * 200, "<b>x</b>" * 200
+    pages = [(1, "http://a/\r\nX-Evil: 1", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", other), (6, "u", other), (7, "u", "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1" * 99), (2, "u", big)]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
+    for compression in ("gzip", "none"):
+        path = f"file://{tmp_path}/{compression}"
+        warc.write_warc(df, path, compression)
+        back = warc.read_warc(spark, path)
+        got = {(r.page_id, r.uri or "", r.payload_bytes): (r.record_type, r.refers_to, bytes(r.payload or b"").decode()) for r in back.collect()}
+        want = {}
+        for i, u, h in pages:
+            h = h or ""
+            top = max((p[0] for p in pages if p[0] and (p[2] or "") == h), default=None)
+            kind = "revisit" if len(h.encode()) >= 1000 and top is not None and i != top else "response"
+            want[i, (u or "").replace("\r\n", ""), len(h.encode())] = (kind, top if kind == "revisit" else None, h if kind == "response" else "")
+        assert got == want
+        few = warc.read_warc(spark, path, "record_type = 'revisit' and page_id in (1, 3)")
+        assert [r.page_id for r in few.collect()] == [1]
+        assert all(r.payload is None for r in warc.read_warc(spark, path, payload=False).collect())
+    assert Counter(r.payload_digest for r in warc.warc_round_trip(df).collect()) == Counter(hashlib.sha1((p[2] or "").encode()).hexdigest() for p in pages)
+    assert warc.warc_round_trip(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 3
+def brute_near(rows):
+    text = {i: t for i, t, *_ in rows if i is not None}
+    sets = {}
+    for i, t in text.items():
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    links, root = Counter(), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            u = len(sets[a] | sets[b])
+            if u and len(sets[a] & sets[b]) * 5 >= 4 * u:
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (find(i), links[i]) for i in ids}
+
+
+@pytest.mark.parametrize("block", [384, 7])
+def test_near_duplicates(spark, docs, rows, none, block):
+    rows = [r for r in rows if r[0] != 7] + [next(r for r in rows if r[0] == 7)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS), block=block).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got if r.doc_id is not None} == brute_near(rows)
+    assert [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(None, 0)]
+    assert len(got) == len(rows)
+
+
+def test_near_duplicates_edges(docs, rows, none):
+    assert jaccard.near_duplicates(none).count() == 0
+    stay = jaccard.one_of_each(docs).collect()
+    want = brute_near(rows)
+    assert sorted(r.doc_id for r in stay if r.doc_id is not None) == sorted({c for c, _ in want.values()})
+    assert stay[0].asDict().keys() == {"doc_id", "text", "salt", "node", "at"}
+
+
+def test_prefix_depth():
+    assert jaccard.prefix_depth(0.8, 32, 0.9999) == 6 and jaccard.prefix_depth(0.8, 1, 0.999999) == 1
+
+
+# ---------------------------------------------------------------- 4
+def test_crc32c():
+    assert binary.crc32c([b"123456789", b"", b"a", b"\0" * 32, b"abc" * 1000])[:4] == [0xE3069283, 0, 0xC1D04330, 0x8A9136AA]
+    rng = np.random.default_rng(0)
+
+    def plain(x):
+        c = 0xFFFFFFFF
+        for v in x:
+            c ^= v
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    data = [rng.bytes(int(n)) for n in (1, 2, 3, 4, 5, 255, 256, 257, 513, 1000)]
+    assert binary.crc32c(data) == [plain(x) for x in data]
+
+
+def test_token_records(spark, docs, rows, none):
+    t = Tokenizer.from_file(BYTES)
+    got = sorted((r for r in binary.record_digests(docs, BYTES).collect()), key=lambda r: r.start)
+    want, start = [], 0
+    for i, text, *_ in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0])):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in got] == want
+    assert binary.record_digests(none, BYTES).count() == 0
+
+
+def test_records_file(spark, docs, rows, tmp_path):
+    path = f"file://{tmp_path}/rec"
+    binary.write_token_records(docs, path, BYTES)
+    back = binary.read_token_records(spark, path)
+    assert back.count() == len(rows) and back.filter("doc_id = 105").count() == 1
+    small = spark.read.format("token_records").option("split_bytes", 5000).load(path)
+    assert {(r.doc_id, r.start, bytes(r.ids)) for r in small.collect()} == {(r.doc_id, r.start, bytes(r.ids)) for r in back.collect()}
+    f = next(f for f in (tmp_path / "rec").glob("*.rec") if f.stat().st_size > 100)
+    data = bytearray(f.read_bytes())
+    data[40] ^= 1
+    f.write_bytes(data)
+    with pytest.raises(Exception, match="damaged"):
+        back.count()
+
+
+ODD = st.text(st.sampled_from(list(" \n\t aZé中'stlm!?.,-_0٣  \x1c\x85<|endoftext|>")) | st.characters(codec="utf-8"), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD)
+@example("a  b   c \n\n d\n e  ")
+@example("x<|endoftext|> y <|endoftext|>")
+def test_chunks_encode_like_the_library(text):
+    for path, level in ((BYTES, True), (WORDS, False)):
+        assert common.encoder(path, level).encode([text])[0].tolist() == common.encoder(path, level).tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# ---------------------------------------------------------------- 5
+@pytest.mark.parametrize("per_task", [50_000, 40])
+def test_packing(docs, rows, none, per_task):
+    t, capacity = Tokenizer.from_file(WORDS), 256
+    got = packing.pack(docs, WORDS, capacity, per_task=per_task).collect()
+    want = Counter()
+    for i, text, *_ in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), capacity)):
+            p = np.array(ids[at : at + capacity], "<u4")
+            want[i, k, at, len(p), zlib.crc32(p.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    least = -(-sum(k[3] * v for k, v in want.items()) // capacity)
+    assert len(bins) <= least * 1.05 + 2
+    assert packing.pack(none, WORDS).count() == 0
+
+
+@given(st.lists(st.integers(1, 50), max_size=200))
+def test_best_fit(sizes):
+    bins = packing.best_fit(sizes, 50)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 50 for b in bins)
+    assert len(bins) <= 1.3 * sum(sizes) / 50 + sum(s > 25 for s in sizes) + 1
+
+
+# ---------------------------------------------------------------- 6
+def brute_scan(text):
+    out = []
+    for kind, pat, low in (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24)):
+        for m in re.finditer(pat, text):
+            if len(m[2] if kind == "assign" else m[0]) >= low:
+                out.append((m.start(), ("assign", "access", "hex").index(kind), m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+SECRETISH = st.text(st.sampled_from(list("paswordtkenAKIA019fe:= \"'_.é+/%\\u")), max_size=40) | st.sampled_from(["password", "api_key=", "AKIA", "0a" * 13, "token: ", "SECRET='", "A1B2C3D4E5F6G7H8"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SECRETISH, max_size=8).map("".join))
+def test_secret_base(text):
+    assert secrets.listed(secrets.find(text)[0]) == brute_scan(text)
+
+
+def test_secret_layers():
+    plain = 'password = "hunter2hunter2"'
+    url = "".join(f"%{b:02X}" for b in plain.encode())
+    esc = "".join(f"\\u{ord(c):04x}" for c in plain)
+    b64 = base64.b64encode(plain.encode()).decode()
+    packed = base64.b64encode(gzip.compress(plain.encode())).decode()
+    twice = base64.b64encode(url.encode()).decode()
+    for x in (url, esc, b64, packed, twice, packed.encode().hex(), zlib.compress(plain.encode()).hex(), "".join(f"&#{ord(c)};" for c in plain)):
+        base, every = secrets.find("ré " + x + " end")
+        assert any(k == "assign" and i >= 3 and j <= 3 + len(x) for i, j, k in every), x
+        assert set(base) <= set(every)
+        assert "hunter2" not in secrets.redact("ré " + x + " end")
+    assert secrets.find("password%3Dabcdef123 x")[1] == [(0, 20, "assign")]
+    assert secrets.find(None) == ([], []) and secrets.redact(None) is None
+    assert secrets.find("nothing to see" * 1000) == ([], [])
+
+
+def test_secret_table(docs, rows, none):
+    got = secrets.secret_spans(docs)
+    assert got.count() == len(rows) and secrets.secret_spans(none).count() == 0
+    assert got.filter("n_assign + n_access + n_hex > 0").count() == 0
+    assert secrets.redacted_documents(docs).schema == docs.schema
+
+
+# ---------------------------------------------------------------- 7
+def test_shards(docs, rows, none):
+    got = sharding.shards(docs, 20_000).collect()
+    assert len(got) == len(rows)
+    size = defaultdict(int)
+    for r in got:
+        size[r.depth, r.prefix] += r.n_bytes
+    assert all(size[r.depth, r.prefix] == r.shard_bytes and r.fits == (r.shard_bytes <= 20_000) for r in got)
+    assert [r.doc_id for r in got if not r.fits] == [105]
+    for d, p in size:  # no shard holds another
+        assert not any((d - k, p >> k) in size for k in range(1, d + 1))
+    assert sharding.shards(none, 10).count() == 0 and {r.depth for r in sharding.shards(docs, 1 << 40).collect()} == {0}
+
+
+# ---------------------------------------------------------------- 8
+def test_leaks(spark, docs, none):
+    q = "A train leaves the old station at 45 km per hour and Anna sees it from 3 miles away while Anna counts 45 km on the long road home."
+    re_set = q.replace("45", "90").replace("Anna", "Boris").replace("3 miles", "7 miles")
+    odd = q.replace("Anna sees", "Boris sees")
+    text = [(1, "Some words before. " + q + " And after."), (2, "Else: " + re_set), (3, "Else: " + odd), (4, "nothing here at all to be seen by anyone who looks"), (5, None), (6, ""), (None, q), (1, q)]
+    d = spark.createDataFrame([(*x, 1, 2) for x in text], "doc_id long, text string, at int, item_id int")
+    b = spark.createDataFrame([(10, q), (11, "too short"), (12, None), (None, q)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.leaks(d, b).collect()}
+    assert got.keys() == {(1, 10), (2, 10), (None, 10)} and got[1, 10] == 0 and got[2, 10] == 3
+    assert sorted(r.doc_id for r in decontaminate.clean_of(d, b).collect()) == [3, 4, 5, 6]
+    assert decontaminate.leaks(none, b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 9
+def test_spans(docs, rows, none):
+    first = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        for p in range(len(w) - 49):
+            if i is not None:
+                key = tuple(w[p : p + 50])
+                first[key] = min(first.get(key, i), i)
+    want = Counter()
+    for i, t, *_ in rows:
+        w = words(t)
+        gone = {q for p in range(len(w) - 49) if i is not None and first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)}
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        want[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, spans.without_repeats(docs).collect())) == want
+    assert sum(k[2] > 0 for k in want) > 40
+    assert spans.without_repeats(none).count() == 0
+
+
+# ---------------------------------------------------------------- 10
+@settings(max_examples=300, deadline=None)
+@given(ODD)
+@example("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa")
+def test_counts_like_the_library(text):
+    own = tokens.counter(BYTES, public_tokenizers.PATTERN)
+    assert own.count(text) == len(common.encoder(BYTES, True).tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts(docs, rows, none):
+    t = Tokenizer.from_file(BYTES)
+    got = Counter(map(tuple, tokens.token_counts(docs, BYTES, public_tokenizers.PATTERN, 1024).collect()))
+    n = {x: len(t.encode(x or "", add_special_tokens=False).ids) for _, x, *_ in rows}
+    assert got == Counter((i, len((x or "").encode()), n[x], n[x] > 1024) for i, x, *_ in rows)
+    assert tokens.token_counts(none, BYTES, public_tokenizers.PATTERN, 1024).count() == 0
