@@ -34,10 +34,15 @@ def spill(df: DataFrame, kind: str) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """id, root for each end of edges (a, b): the least id of its component.
 
-    Each round takes the least label of all neighbours, then the label of that label, so chains
+    First each id keeps just the edge to its least neighbour and hands its others over to that, so the edges of a dense group
+    become few distinct ones between its least ids. Each round then takes the least label of all neighbours, then the label of that label, so chains
     shorten by halves. A node with many edges is aggregated before its rows are shuffled; labels are cut off at each round.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    up = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    least = up.groupBy("b").agg(F.min("a").alias("m"))
+    handed = up.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    few = least.select(F.col("m").alias("a"), "b").union(handed).distinct()
+    both = few.union(few.select("b", "a")).distinct()
     both = spill(both, "edges")
     labels = spill(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
     while True:
