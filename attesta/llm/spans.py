@@ -45,13 +45,13 @@ def _minimizers(docs: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def _edges(texts: DataFrame, n: int, k: int) -> DataFrame:
-    """doc_id, sha, text, at, edge: the windows of each document whose minimizers are among `shared`."""
+    """doc_id, own, sha, text, at, edge: the windows of each document whose minimizers are among `shared`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 200):
                 part, at, edge, keep = b.slice(start, 200), [], [], []
-                for sha, text, shared in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                for sha, text, shared in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                     ws = words(text)
                     own = _sha(ws) == sha  # else another text of the same doc_id
                     keep.append(own)
@@ -63,10 +63,10 @@ def _edges(texts: DataFrame, n: int, k: int) -> DataFrame:
                     else:
                         at.append([])
                         edge.append([])
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(edge, pa.list_(pa.int64()))], ["doc_id", "sha", "text", "at", "edge"])
+                out = pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(at, pa.list_(pa.int32())), pa.array(edge, pa.list_(pa.int64()))], ["doc_id", "own", "sha", "text", "at", "edge"])
                 yield out.filter(pa.array(keep, pa.bool_()))
 
-    return texts.select("doc_id", "sha", "text", "shared").mapInArrow(run, "doc_id long, sha string, text string, at array<int>, edge array<long>")
+    return texts.select("doc_id", "own", "sha", "text", "shared").mapInArrow(run, "doc_id long, own int, sha string, text string, at array<int>, edge array<long>")
 
 
 def _digests(texts: DataFrame) -> DataFrame:
@@ -112,14 +112,19 @@ def repeated_spans(docs: DataFrame, n: int = 50, k: int = 12, salts: int = 16) -
     figures = spill(figures, "figures")
 
     lone = able.join(figures.filter("first is not null and doc_id <> first").select("doc_id", "sha"), ["doc_id", "sha"], "left_anti")
-    each = lone.select("doc_id", "sha", F.explode("least").alias("minimizer"))
+    # Texts that share a doc_id are told apart by a small number, 0 nearly always, instead of their long digest.
+    clash = lone.groupBy("doc_id").agg(F.sort_array(F.collect_set("sha")).alias("shas")).filter(F.size("shas") > 1).select("doc_id", F.posexplode("shas").alias("own", "sha"))
+    lone = lone.join(spill(clash, "clash"), ["doc_id", "sha"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    lone = spill(lone.select("doc_id", "own", "sha", "least"), "lone")
+    each = lone.select("doc_id", "own", F.explode("least").alias("minimizer"))
     twice = each.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("minimizer")
-    asked = each.join(twice, "minimizer").groupBy("doc_id", "sha").agg(F.collect_set("minimizer").alias("shared"))  # as many as the document has
+    asked = each.join(twice, "minimizer").groupBy("doc_id", "own").agg(F.collect_set("minimizer").alias("shared"))  # as many as the document has
+    asked = asked.join(lone.select("doc_id", "own", "sha"), ["doc_id", "own"])
     held = spill(_edges(docs.select("doc_id", "text").join(asked, "doc_id"), n, k), "edges").filter(F.size("at") > 0)
 
-    held = held.withColumn("own", F.xxhash64("sha"))  # tells texts that share a doc_id apart
     edges = held.select("doc_id", "own", F.explode(F.arrays_zip("at", "edge")).alias("e")).select("doc_id", "own", F.col("e.at").alias("at"), F.col("e.edge").alias("edge"))
     sources = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("high")).filter("source.doc_id < high").select("edge", "source")
+    sources = spill(sources, "sources")  # so that a join with a hot edge has partitions of its own to split
     met = edges.join(sources, "edge").filter(F.col("doc_id") > F.col("source.doc_id"))
     # A path goes on while the next edge is next in the document and in the source.
     order = Window.partitionBy("doc_id", "own").orderBy("at")
