@@ -1,0 +1,198 @@
+"""Row generators over HTML: facts, headings and links of a page, read by a small tree over the standard parser."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+VOID = {"br", "hr", "img", "input", "link", "meta", "source", "area", "base", "col", "embed", "track", "wbr"}
+#: Parts of a page that hold no facts about its subject.
+FURNITURE = {"nav", "header", "footer", "aside", "script", "style", "noscript", "template"}
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+
+    def walk(self) -> Iterator[Node]:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+    def text(self) -> str:
+        parts, stack = [], [self]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                parts.append(x)
+            elif x is self or x.tag not in ("script", "style"):
+                stack.extend(reversed(x.children))
+        return re.sub(r"\s+", " ", " ".join(parts)).strip()
+
+    def inside(self, tags: set[str]) -> bool:
+        node = self
+        while node is not None:
+            if node.tag in tags:
+                return True
+            node = node.parent
+        return False
+
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
+
+class _Tree(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("root", {}, None)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.at.tag == tag:
+            self.at = self.at.parent or self.root
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_endtag(self, tag: str) -> None:
+        node = self.at
+        while node is not None and node.tag != tag:
+            node = node.parent
+        if node is not None and node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data: str) -> None:
+        self.at.children.append(data)
+
+
+def parse(html: str | None) -> Node:
+    t = _Tree()
+    t.feed(html or "")
+    t.close()
+    return t.root
+
+
+def plausible(label: str, value: str) -> bool:
+    """A label and a value that can be a fact: short, not blank, not equal, with a letter in the label."""
+    return bool(label and value) and len(label) <= 120 and len(value) <= 600 and label.lower() != value.lower() and any(c.isalpha() for c in label) and not re.match(r"https?://", label)
+
+
+def _json_facts(value: object, path: tuple[str, ...], budget: list[int]) -> Iterator[tuple[str, str]]:
+    """Scalars of a JSON tree with their last key; name/value pairs become facts of their own. Depth 12, 5000 nodes."""
+    if budget[0] <= 0 or len(path) > 12:
+        return
+    budget[0] -= 1
+    if isinstance(value, dict):
+        name = value.get("name")
+        if isinstance(name, str) and isinstance(value.get("value"), str | int | float):
+            unit = value.get("unitText") or value.get("unitCode") or ""
+            yield name, f"{value['value']} {unit}".strip()
+            return
+        for k, v in value.items():
+            if not k.startswith("@"):
+                yield from _json_facts(v, (*path, k), budget)
+    elif isinstance(value, list):
+        for v in value:
+            yield from _json_facts(v, path, budget)
+    elif isinstance(value, str | int | float) and path:
+        yield path[-1], str(value)
+
+
+def facts(html: str | None) -> list[tuple[str, str, str, str]]:
+    """(label, value, method, section) of a page: JSON-LD, tables, definition lists, label: value lines, two-child rows."""
+    root, out, seen, section = parse(html), [], set(), ""
+
+    def add(label: str, value: str, method: str) -> None:
+        label, value = label.strip(" :\n\t"), value.strip()
+        if plausible(label, value) and (label, value) not in seen:
+            seen.add((label, value))
+            out.append((label, value, method, section))
+
+    for node in root.walk():
+        if node.tag == "script" and "ld+json" in node.attrs.get("type", ""):
+            try:
+                data = json.loads("".join(c for c in node.children if isinstance(c, str)))
+            except ValueError:
+                continue
+            for label, value in _json_facts(data, (), [5000]):
+                add(label, value, "json_ld")
+            continue
+        if node.inside(FURNITURE):
+            continue
+        if re.fullmatch("h[1-6]", node.tag):
+            section = node.text()[:300]
+        elif node.tag == "tr":
+            cells = [c for c in node.elements() if c.tag in ("td", "th")]
+            if len(cells) == 2:
+                add(cells[0].text(), cells[1].text(), "html_table")
+        elif node.tag == "dl":
+            label = ""
+            for c in node.walk():
+                if c.tag == "dt":
+                    label = c.text()
+                elif c.tag == "dd" and label:
+                    add(label, c.text(), "definition_list")
+        elif node.tag in ("li", "p", "div", "span") and not any(c.tag in ("li", "p", "div", "ul", "table", "dl") for c in node.elements()):
+            text = node.text()
+            m = re.fullmatch(r"([^:]{2,60}):\s+(.{1,300})", text)
+            if m:
+                add(m[1], m[2], "label_value")
+        elif node.tag in ("li", "div") and len(node.elements()) == 2 and all(c.tag in ("span", "div", "b", "strong", "p") for c in node.elements()):
+            a, b = node.elements()
+            if len(a.text().split()) <= 8:
+                add(a.text(), b.text(), "spec_block")
+    return out
+
+
+def _rows(pages: DataFrame, each, schema: str, names: list[str]) -> DataFrame:  # noqa: ANN001
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, k, *r) for i, h in zip(pdf["page_id"], pdf["html"], strict=True) for k, r in enumerate(each(h))]
+            yield pd.DataFrame(rows, columns=["page_id", "seq", *names])
+
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id long, seq int, {schema}")
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """page_id, seq, label, value, method, section of each page (page_id, html); malformed or null pages give what can be read."""
+    return _rows(pages, facts, "label string, value string, method string, section string", ["label", "value", "method", "section"])
+
+
+def _links(html: str | None) -> list[tuple[str, str]]:
+    return [(n.attrs["href"], n.text()) for n in parse(html).walk() if n.tag == "a" and n.attrs.get("href")]
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    return _rows(pages, _links, "href string, anchor string", ["href", "anchor"])
+
+
+def _headings(html: str | None) -> list[tuple[str, str]]:
+    return [(n.tag, n.text()) for n in parse(html).walk() if re.fullmatch("h[1-6]|title", n.tag)]
+
+
+def page_headings(pages: DataFrame) -> DataFrame:
+    return _rows(pages, _headings, "tag string, text string", ["tag", "text"])
+
+
+def _visible(html: str | None) -> str:
+    root = parse(html)
+    for node in list(root.walk()):
+        links = sum(len(n.text()) for n in node.walk() if n.tag == "a")
+        n_links = sum(n.tag == "a" for n in node.walk())
+        if node.parent is not None and (node.tag in FURNITURE or (node.tag in ("ul", "div", "section") and n_links >= 3 and links >= 0.65 * max(1, len(node.text())))):
+            node.parent.children = [c for c in node.parent.children if c is not node]
+    return root.text()
+
+
+def page_text(pages: DataFrame) -> DataFrame:
+    """page_id, seq (0), text without furniture and link lists."""
+    return _rows(pages, lambda h: [(_visible(h),)], "text string", ["text"])
