@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What stands for a missing value, and scripts that a catalogue value never has.
 PLACEHOLDERS = ("-", "–", "—", "n/a", "na", "not available", "not specified", "unknown", "нет данных", "не указано", "невідомо", "не вказано")
@@ -117,7 +118,7 @@ def _label_key(text: str) -> str:
 
 
 def _lifted(f):  # noqa: ANN001, ANN202
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else f(x))
 
