@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -66,25 +67,23 @@ def words(text: str | None) -> list[bytes]:
 _UNSAFE = re.compile(r" \s|\s \Z")
 
 
-def chunks(text: str) -> list[str] | None:
-    """Cut a text before each space where a byte-level pre-tokenizer always cuts; None if it can't be."""
+def cut_at_spaces(text: str) -> tuple[str, list[str]] | None:
+    """What stands before the first space and after each space, where a byte-level pre-tokenizer always cuts before
+    these spaces; None if it may not."""
     if _UNSAFE.search(text):
         return None
     head, *rest = text.split(" ")
-    out = [" " + x for x in rest]
-    if head:
-        out.insert(0, head)
-    return out
+    return head, rest
 
 
 class ChunkEncoder:
     """Ids of texts from a tokenizers file, each distinct chunk of a text encoded once.
 
-    byte_level: chunks keep the space before them. Otherwise the tokenizer drops white space, and
-    a text is cut at spaces and line ends. The cache is emptied at `keep` entries, so memory is bounded.
+    byte_level: a chunk is what follows a space, encoded with the space. Otherwise the tokenizer drops white space, and a
+    text is cut at spaces and line ends. The cache is emptied at `keep` entries (about 200 bytes each), so memory is bounded.
     """
 
-    def __init__(self, path: str, byte_level: bool, keep: int = 300_000):
+    def __init__(self, path: str, byte_level: bool, keep: int = 1_200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,26 +94,30 @@ class ChunkEncoder:
         self.byte_level, self.keep, self.cache = byte_level, keep, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids for each text; null is an empty text."""
-        out = []
+        out, lead = [], " " if self.byte_level else ""
         for at in range(0, len(texts), 64):
             if len(self.cache) > self.keep:
                 self.cache.clear()
-            cut = []
+            heads, rests, cache = [], [], self.cache
+            new: set[str] = set()
             for t in texts[at : at + 64]:
                 t = t or ""
                 if self.byte_level:
-                    parts = chunks(t)
-                    cut.append([t] if parts is None else parts)
+                    head, rest = cut_at_spaces(t) or (t, [])
                 else:
-                    cut.append([x for x in t.replace("\n", " ").split(" ") if x])
-            cache = self.cache
-            new = list({p for parts in cut for p in parts if p not in cache})
-            cache.update(zip(new, self._encode(new), strict=True))
-            out += [np.frombuffer(b"".join([cache[p] for p in parts]), self.dtype) for parts in cut]
+                    head, rest = "", t.replace("\n", " ").split(" ")
+                heads.append(head)
+                rests.append(rest)
+                new |= set(rest).difference(cache)
+            fresh = list(new)
+            cache.update(zip(fresh, self._encode([lead + p for p in fresh]), strict=True))
+            first = self._encode(heads) if self.byte_level else [b""] * len(heads)
+            out += [np.frombuffer(f + b"".join(map(cache.__getitem__, r)), self.dtype) for f, r in zip(first, rests, strict=True)]
         return out
 
 

@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import cut_at_spaces
 
 
 def byte_symbols() -> dict[int, str]:
@@ -23,6 +23,17 @@ def byte_symbols() -> dict[int, str]:
     return table
 
 
+class _Counts(dict):
+    """A dict that computes what it lacks."""
+
+    def __init__(self, compute):  # noqa: ANN001
+        self.compute = compute
+
+    def __missing__(self, key: str) -> int:
+        value = self[key] = self.compute(key)
+        return value
+
+
 class PairCounter:
     """Counts tokens of texts under a byte-level BPE file (vocabulary, merges, special strings).
 
@@ -41,7 +52,8 @@ class PairCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pieces = regex.compile(pattern).findall
-        self.keep, self.of_piece, self.of_chunk = keep, {}, {}
+        self.keep, self.of_piece = keep, {}
+        self.of_chunk = _Counts(lambda chunk: self._whole(" " + chunk))
 
     def merged(self, piece: str) -> int:
         """Tokens of one pre-token: pop the lowest-ranked, leftmost adjacent pair until no pair has a rank."""
@@ -83,17 +95,13 @@ class PairCounter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        parts = chunks(text)
-        if parts is None:
+        cut = cut_at_spaces(text)
+        if cut is None:
             return self._whole(text)
-        total, cache = 0, self.of_chunk
-        if len(cache) > self.keep:
-            cache.clear()
-        for p in parts:
-            if (c := cache.get(p)) is None:
-                c = cache[p] = self._whole(p)
-            total += c
-        return total
+        if len(self.of_chunk) > self.keep:
+            self.of_chunk.clear()
+        head, rest = cut
+        return self._whole(head) + sum(map(self.of_chunk.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
