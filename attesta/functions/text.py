@@ -84,16 +84,21 @@ def _fold(text: str) -> str:
     return "".join(c for c in parts if not unicodedata.combining(c))
 
 
+_MISREAD = re.compile("[\u00c2-\u00f4][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]{1,3}")
+
+
 def _mojibake(text: str) -> str:
-    """UTF-8 that was read as a Western code page, read anew; kept only if that leaves fewer suspicious pairs."""
-    if not re.search("[ÃÂÐÑ][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]", text):
-        return text
-    for page in ("cp1252", "latin-1"):
-        try:
-            return text.encode(page).decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-    return text
+    """UTF-8 that was read as a Western code page, read anew, run by run; what is no UTF-8 stays."""
+
+    def repaired(m: re.Match) -> str:
+        for page in ("cp1252", "latin-1"):
+            try:
+                return m[0].encode(page).decode("utf-8")
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+        return m[0]
+
+    return _MISREAD.sub(repaired, text)
 
 
 def _clean(text: str) -> str:

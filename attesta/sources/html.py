@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 VOID = {"br", "hr", "img", "input", "link", "meta", "source", "area", "base", "col", "embed", "track", "wbr"}
+#: Open elements that a start tag ends.
+CLOSED_BY = {"p": ("p",), "li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 #: Parts of a page that hold no facts about its subject.
 FURNITURE = {"nav", "header", "footer", "aside", "script", "style", "noscript", "template"}
 
@@ -56,7 +58,7 @@ class _Tree(HTMLParser):
         self.root = self.at = Node("root", {}, None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.at.tag == tag:
+        while self.at.tag in CLOSED_BY.get(tag, ()):
             self.at = self.at.parent or self.root
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
