@@ -38,7 +38,7 @@ def identifier_words(c: Column) -> Column:
 
 def tidy_punctuation(c: Column) -> Column:
     """No space before, one after a comma or semicolon, no doubled marks, single spaces."""
-    for pattern, new in ((" +([,;:.!?])", "$1"), ("([,;])([^ \\d])", "$1 $2"), ("([,;:])\\1+", "$1"), (" {2,}", " ")):
+    for pattern, new in ((" +([,;:.!?])", "$1"), ("([,;:])\\1+", "$1"), ("([,;])([^ \\d])", "$1 $2"), (" {2,}", " ")):
         c = F.regexp_replace(c, pattern, new)
     return F.trim(c)
 

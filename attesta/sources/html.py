@@ -144,14 +144,14 @@ def facts(html: str | None) -> list[tuple[str, str, str, str]]:
                 elif c.tag == "dd" and label:
                     add(label, c.text(), "definition_list")
         elif node.tag in ("li", "p", "div", "span") and not any(c.tag in ("li", "p", "div", "ul", "table", "dl") for c in node.elements()):
-            text = node.text()
-            m = re.fullmatch(r"([^:]{2,60}):\s+(.{1,300})", text)
+            m = re.fullmatch(r"([^:]{2,60}):\s+(.{1,300})", node.text())
+            pair = node.elements()
             if m:
                 add(m[1], m[2], "label_value")
-        elif node.tag in ("li", "div") and len(node.elements()) == 2 and all(c.tag in ("span", "div", "b", "strong", "p") for c in node.elements()):
-            a, b = node.elements()
-            if len(a.text().split()) <= 8:
-                add(a.text(), b.text(), "spec_block")
+            elif node.tag in ("li", "div") and len(pair) == 2 and all(c.tag in ("span", "b", "strong") for c in pair) and len(pair[0].text().split()) <= 8:
+                add(pair[0].text(), pair[1].text(), "spec_block")
+        elif node.tag in ("li", "div") and [c.tag for c in node.elements()] in (["div", "div"], ["p", "p"]) and len(node.elements()[0].text().split()) <= 8:
+            add(*(c.text() for c in node.elements()), "spec_block")
     return out
 
 
