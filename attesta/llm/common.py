@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from array import array
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +84,9 @@ class ChunkEncoder:
     text is cut at spaces and line ends. The cache is emptied at `keep` entries (about 200 bytes each), so memory is bounded.
     """
 
+    #: Between chunks that a tokenizer without white space encodes together; one id by itself.
+    _BAR = "\x01"
+
     def __init__(self, path: str, byte_level: bool, keep: int = 1_200_000):
         import os
 
@@ -90,34 +94,62 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.byte_level, self.keep, self.cache = byte_level, keep, {}
+        self.opens, self.ends, self.bar = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(3))
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.bar[self.tokenizer.encode(self._BAR, add_special_tokens=False).ids] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, chunks: list[str], lead: str, bar: str, marks: np.ndarray, skip: int) -> list[bytes]:
+        """Ids of each chunk out of one text of them all, cut before each marked id; one by one if there are not as many marks as chunks.
+
+        skip leaves out the marked id itself (1), keeps it (0), or keeps it in the chunk that it ends (-1).
+        """
+        ids = np.frombuffer(self._encode([lead + bar.join(chunks)])[0], self.dtype)
+        at = np.flatnonzero(marks[ids])
+        if len(at) != len(chunks) or (at[-1] != len(ids) - 1 if skip < 0 else at[0] != 0):
+            return self._encode([" " + c for c in chunks] if self.byte_level else chunks)
+        edges = np.concatenate(([0], at + 1)) if skip < 0 else np.concatenate((at, [len(ids)]))
+        width, raw = self.dtype.itemsize, ids.tobytes()
+        return [raw[a:b] for a, b in zip(((edges[:-1] + max(skip, 0)) * width).tolist(), (edges[1:] * width).tolist(), strict=True)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        if self.byte_level:  # white space after a space may be one token with it: no text with such a chunk is cut
+            self.cache.update((c, None) for c in fresh if not c or c[0].isspace())
+            ways = [([c for c in fresh if c and not c[0].isspace()], " ", " ", self.opens, 0)]
+        else:  # a chunk of letters is one word and has one word end
+            ways = [([c for c in fresh if c.isalpha()], "", " ", self.ends, -1), ([c for c in fresh if not c.isalpha()], self._BAR + " ", f" {self._BAR} ", self.bar, 1)]
+        for own, *way in ways:
+            for k in range(0, len(own), 4096):
+                part = own[k : k + 4096]
+                self.cache.update(zip(part, self._together(part, *way), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids for each text; null is an empty text."""
-        out, lead = [], " " if self.byte_level else ""
+        out = []
         for at in range(0, len(texts), 64):
             if len(self.cache) > self.keep:
                 self.cache.clear()
-            heads, rests, cache = [], [], self.cache
-            new: set[str] = set()
-            for t in texts[at : at + 64]:
-                t = t or ""
-                if self.byte_level:
-                    head, rest = cut_at_spaces(t) or (t, [])
-                else:
-                    head, rest = "", t.replace("\n", " ").split(" ")
-                heads.append(head)
-                rests.append(rest)
-                new |= set(rest).difference(cache)
-            fresh = list(new)
-            cache.update(zip(fresh, self._encode([lead + p for p in fresh]), strict=True))
-            first = self._encode(heads) if self.byte_level else [b""] * len(heads)
-            out += [np.frombuffer(f + b"".join(map(cache.__getitem__, r)), self.dtype) for f, r in zip(first, rests, strict=True)]
+            some = [t or "" for t in texts[at : at + 64]]
+            chunks = [(t if self.byte_level else t.replace("\n", " ")).split(" ") for t in some]
+            heads = self._encode([c.pop(0) for c in chunks]) if self.byte_level else [b""] * len(some)
+            known, fresh = self.cache.__contains__, set()
+            for c in chunks:
+                fresh.update(filterfalse(known, c))
+            self._learn(list(fresh))
+            ids_of = self.cache.__getitem__
+            for t, head, c in zip(some, heads, chunks, strict=True):
+                try:
+                    ids = head + b"".join(map(ids_of, c))
+                except TypeError:  # a None: the text can't be cut
+                    ids = self._encode([t])[0]
+                out.append(np.frombuffer(ids, self.dtype))
         return out
 
 
