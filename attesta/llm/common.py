@@ -81,13 +81,14 @@ class ChunkEncoder:
     """Ids of texts from a tokenizers file, each distinct chunk of a text encoded once.
 
     byte_level: a chunk is what follows a space, encoded with the space. Otherwise the tokenizer drops white space, and a
-    text is cut at spaces and line ends. The cache is emptied at `keep` entries (about 200 bytes each), so memory is bounded.
+    text is cut at spaces and line ends. The cache has two halves: when the young one is full it
+    becomes the old one, from which words met again move on. Both hold `keep` entries (about 200 bytes each), so memory is bounded.
     """
 
     #: Between chunks that a tokenizer without white space encodes together; one id by itself.
     _BAR = "\x01"
 
-    def __init__(self, path: str, byte_level: bool, keep: int = 1_200_000):
+    def __init__(self, path: str, byte_level: bool, keep: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,7 +97,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
-        self.byte_level, self.keep, self.cache = byte_level, keep, {}
+        self.byte_level, self.keep, self.cache, self.old = byte_level, keep, {}, {}
         self.opens, self.ends, self.bar = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(3))
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -120,6 +121,9 @@ class ChunkEncoder:
         return [raw[a:b] for a, b in zip(((edges[:-1] + max(skip, 0)) * width).tolist(), (edges[1:] * width).tolist(), strict=True)]
 
     def _learn(self, fresh: list[str]) -> None:
+        old = self.old
+        self.cache.update((c, old[c]) for c in fresh if c in old)
+        fresh = [c for c in fresh if c not in old]
         if self.byte_level:  # white space after a space may be one token with it: no text with such a chunk is cut
             self.cache.update((c, None) for c in fresh if not c or c[0].isspace())
             ways = [([c for c in fresh if c and not c[0].isspace()], " ", " ", self.opens, 0)]
@@ -134,8 +138,8 @@ class ChunkEncoder:
         """An array of ids for each text; null is an empty text."""
         out = []
         for at in range(0, len(texts), 64):
-            if len(self.cache) > self.keep:
-                self.cache.clear()
+            if len(self.cache) > self.keep // 2:
+                self.old, self.cache = self.cache, {}
             some = [t or "" for t in texts[at : at + 64]]
             chunks = [(t if self.byte_level else t.replace("\n", " ")).split(" ") for t in some]
             heads = self._encode([c.pop(0) for c in chunks]) if self.byte_level else [b""] * len(some)
