@@ -97,8 +97,22 @@ def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class RecordWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
+    """Writes column ids; with a tokenizer it encodes column text instead and ends each text with end_id, so ids never pass through the JVM."""
+
+    def __init__(self, path: str, width: int, tokenizer: str | None = None, end_id: int = 0):
+        self.path, self.width, self.tokenizer, self.end_id = path, width, tokenizer, end_id
+
+    def _rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+        """doc_ids and bytes of ids, of a few records at a time."""
+        if self.tokenizer:
+            e = encoder(self.tokenizer, True)
+            end = np.array([self.end_id], e.dtype).tobytes()
+        for batch in batches:
+            docs = batch.column(batch.schema.get_field_index("doc_id"))
+            data = batch.column(batch.schema.get_field_index("text" if self.tokenizer else "ids"))
+            for at in range(0, batch.num_rows, 512):
+                own = data.slice(at, 512).to_pylist()
+                yield docs.slice(at, 512).to_pylist(), [a.tobytes() + end for a in e.encode(own)] if self.tokenizer else own
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -109,9 +123,7 @@ class RecordWriter(DataSourceArrowWriter):
         stem = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"  # attempts don't meet
         offset = records = ids = 0
         with fs.open_output_stream(f"{root}/{stem}.rec") as rec, fs.open_output_stream(f"{root}/{stem}.idx") as idx:
-            for batch in batches:
-                docs = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-                data = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+            for docs, data in self._rows(batches):
                 heads = [struct.pack("<Q", len(d)) for d in data]
                 rows = []
                 for doc, d, head, c, h in zip(docs, data, heads, crc32c(data), crc32c(heads), strict=True):
@@ -187,7 +199,7 @@ class RecordReader(DataSourceReader):
 
 
 class TokenRecords(DataSource):
-    """Format token_records: path, width (2 or 4 bytes an id, for writing), split_bytes (for reading)."""
+    """Format token_records: path; for writing width (2 or 4 bytes an id), tokenizer and end_id; for reading split_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -197,7 +209,7 @@ class TokenRecords(DataSource):
         return "doc_id long, start long, ids binary"
 
     def writer(self, schema, overwrite: bool) -> RecordWriter:  # noqa: ANN001
-        return RecordWriter(self.options["path"], int(self.options.get("width", 4)))
+        return RecordWriter(self.options["path"], int(self.options.get("width", 4)), self.options.get("tokenizer"), int(self.options.get("end_id", 0)))
 
     def reader(self, schema) -> RecordReader:  # noqa: ANN001
         return RecordReader(self.options["path"], int(self.options.get("split_bytes", 32 << 20)))
@@ -210,20 +222,9 @@ def write_token_records(docs: DataFrame, path: str, tokenizer: str, end_id: int
     each other in the order of their texts; no rows give an empty manifest; other columns are not read.
     """
     docs.sparkSession.dataSource.register(TokenRecords)
-    own = encoder(tokenizer, True)
-    width = own.dtype.itemsize
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer, True)
-        end = np.array([end_id], e.dtype).tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 512):  # ids of a few texts at a time
-                part = b.slice(at, 512)
-                ids = [a.tobytes() + end for a in e.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
+    width = encoder(tokenizer, True).dtype.itemsize
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(run, "doc_id long, ids binary").write.format("token_records").option("width", width).mode("append").save(path)
+    ordered.write.format("token_records").option("width", width).option("tokenizer", tokenizer).option("end_id", end_id).mode("append").save(path)
 
 
 def read_token_records(spark: SparkSession, path: str) -> DataFrame:
