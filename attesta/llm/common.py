@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,3 +163,13 @@ class ChunkEncoder:
 def encoder(path: str, byte_level: bool) -> ChunkEncoder:
     """One for each file and worker process, so that tasks share its cache."""
     return ChunkEncoder(path, byte_level)
+
+
+def lean() -> None:
+    """Give back the encoders that this worker process may hold from other work, and what Arrow doesn't use of its memory.
+
+    Tasks of operators without an encoder begin with it, as workers outlive the stage that they were started for."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, spill, words
+from .common import connected, lean, spill, words
 from .shingles import MinHash, shingle_set
 
 
@@ -34,6 +34,7 @@ def _signatures(docs: DataFrame, n: int, trees: int) -> DataFrame:
     forest = MinHash(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             keys, sets = [], []
             for t in b.column(1).to_pylist():
@@ -50,6 +51,7 @@ def _verify(threshold: tuple[int, int]):  # noqa: ANN202
     num, den = threshold
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         node = np.array(table.column("node").to_pylist(), np.int64)
         side = np.array(table.column("block").to_pylist(), np.int64)
         weight = np.array(table.column("copies").to_pylist(), np.int64)
@@ -119,6 +121,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
     member = parts.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("part"), "blocks").join(alone, "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             own = [shingle_set(words(t), n).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array(own, pa.binary())], ["node", "part", "blocks", "copies", "shingles"])

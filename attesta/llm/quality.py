@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACES, words
+from .common import SPACES, lean, words
 
 # Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
@@ -113,6 +113,7 @@ def quality_figures(docs: DataFrame, rules: Rules = Rules(), clean: bool = False
     names = [f.split()[0] for f in FIGURES.split(", ")] + ["clean_text"] * clean
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             rows = [judge(t, rules) for t in b.column(1).to_pylist()]
             cols = [pa.array([r[n] for r in rows], pa.string() if n == "clean_text" else pa.int64() if n in _LONGS else pa.bool_()) for n in names]
@@ -131,6 +132,7 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     size = schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             rows = [judge(t, rules) for t in b.column(at).to_pylist()]
             keep = pa.array([r["kept"] for r in rows], pa.bool_())

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 # The kinds in the order that breaks ties of spans, and their patterns.
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -214,6 +216,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             found = [find(t) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
@@ -228,6 +231,7 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             texts, cols = [redact(t) for t in b.column(at).to_pylist()], list(b.columns)
             cols[at] = pa.array(texts, pa.string())

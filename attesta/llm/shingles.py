@@ -33,11 +33,13 @@ class _Powers:
 
 _powers = _Powers()
 _words: dict[bytes, int] = {}
+#: Hashing anew costs little more than a look-up, so few words are kept (about 120 bytes each).
+_KEEP = 100_000
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:
     """64-bit hash of each word; hashes of frequent words are kept, up to a bound."""
-    if len(_words) > 500_000:
+    if len(_words) > _KEEP:
         _words.clear()
     get, hash64 = _words.get, xxhash.xxh3_64_intdigest
     out = []
