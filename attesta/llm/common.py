@@ -35,6 +35,17 @@ def spill(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of up to four numbers that a join may broadcast: about 100 bytes each in a hashed relation, so 40 MB at most.
+FEW = 400_000
+
+
+def counted(df: DataFrame, kind: str) -> DataFrame:
+    """df, written and counted: a join broadcasts it if it has up to FEW rows, so that texts on the other side stay where
+    they are; beyond that Spark is free to shuffle both sides."""
+    df = spill(df, kind)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """id, root for each end of edges (a, b): the least id of its component.
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import counted
+
 # Marks of slots (private-use characters: number, unit, name; and the separator inside a number), units.
 NUMBER, UNIT, NAME, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
 UNITS = (
@@ -76,5 +78,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, cover: tuple[int, i
 
 def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns stay. Rows that share a doc_id go together."""
-    held = leaks(docs, benchmark).select(F.col("doc_id").alias("held")).distinct()
+    held = counted(leaks(docs, benchmark).select(F.col("doc_id").alias("held")).distinct(), "held")
     return docs.join(held, docs["doc_id"].eqNullSafe(held["held"]), "left_anti")

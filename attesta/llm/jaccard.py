@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, lean, spill, words
+from .common import connected, counted, lean, spill, words
 from .shingles import MinHash, shingle_set
 
 
@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
     parts = connected(edges)
 
     sizes = parts.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    member = parts.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("part"), "blocks").join(alone, "node")
+    member = counted(parts.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("part"), "blocks").join(alone, "node"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
             own = [shingle_set(words(t), n).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array(own, pa.binary())], ["node", "part", "blocks", "copies", "shingles"])
 
-    texts = member.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").select("node", "part", "blocks", "copies", "text")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(member, "node").select("node", "part", "blocks", "copies", "text")
     held = spill(texts.mapInArrow(sets, "node long, part long, blocks int, copies long, shingles binary").filter(F.octet_length("shingles") > 0), "shingles")
     dealt = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "part", "copies", "shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -145,10 +145,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near duplicates: of each class the document with the least doc_id stays, with all its columns.
 
     Of several rows with a doc_id that stays, the least in the order of all columns is kept; rows without a doc_id stay."""
-    keep = near_duplicates(docs).filter("class_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    keep = spill(keep, "keep")
-    out = docs.join(keep.filter("rows = 1"), "doc_id", "left_semi").select(*docs.columns)
-    if not keep.filter("rows > 1").isEmpty():
-        again = docs.join(keep.filter("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-        out = out.unionByName(again.select("row.*"))
-    return out.unionByName(docs.filter("doc_id is null"))
+    # Few rows go or share a doc_id, so these are sought, not those that stay; rows without a doc_id meet none of them.
+    found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("class_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows"))
+    special = counted(found.filter("not stays or rows > 1").select("doc_id", "stays"), "special")
+    out = docs.join(special, "doc_id", "left_anti")
+    if special.filter("stays").isEmpty():
+        return out
+    again = docs.join(special.filter("stays"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(again.select("row.*"))
