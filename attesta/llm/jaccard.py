@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
     parts = connected(edges)
 
     sizes = parts.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    member = counted(parts.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("part"), "blocks").join(alone, "node"), "members")
+    member = parts.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("part"), "blocks").join(alone, "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -126,7 +126,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
             own = [shingle_set(words(t), n).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array(own, pa.binary())], ["node", "part", "blocks", "copies", "shingles"])
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(member, "node").select("node", "part", "blocks", "copies", "text")
+    # Merged at every size: members grow with the input, and broadcasting them took executors of check_l beyond their memory.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(member.hint("merge"), "node").select("node", "part", "blocks", "copies", "text")
     held = spill(texts.mapInArrow(sets, "node long, part long, blocks int, copies long, shingles binary").filter(F.octet_length("shingles") > 0), "shingles")
     dealt = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "part", "copies", "shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
