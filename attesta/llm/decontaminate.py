@@ -1,19 +1,20 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Names, numbers and units become typed placeholders; windows of canonical tokens of documents are hash-joined with those
-of benchmark items; a document that covers enough of an item at one alignment and fills its slots consistently
-(equal values of the item meet equal values in the document) holds the item, as it is or re-parameterised.
+of benchmark items; a document that covers enough of an item at one alignment, or at a chain of near ones (words were added or dropped), and
+fills its slots consistently (equal values of the item meet equal values in the document) holds the item, as it is or re-parameterised.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import counted
 
 # Marks of slots (private-use characters: number, unit, name; and the separator inside a number), units.
 NUMBER, UNIT, NAME, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
+RUN = "\ue004"  # parts the names of a run that is one token
 UNITS = (
     "mm|cm|m|km|inch|inches|foot|feet|yard|yards|mile|miles|mg|g|kg|gram|grams|lb|lbs|pound|pounds|ounce|ounces|ton|tons|ml|l|liter|liters|litre|litres|gallon|gallons|"
     "second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|euro|euros|cent|cents|percent|degree|degrees|watt|watts|volt|volts|mph|kmh"
@@ -37,14 +38,48 @@ def canonical(marked: Column) -> Column:
     return F.regexp_replace(marked, f"([{NUMBER}-{NAME}])[^ ]+", "$1")
 
 
-def _windows(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """key, at, window (hash), slots (the annotated tokens of the window) for each run of n tokens.
+#: Positions are counted in the tokens of a text (PLACED), or in those left when each run of names is one token (JOINED).
+PLACED, JOINED = 1, 2
 
-    Positions are exploded and a window's tokens are picked by index, all within generated code."""
+
+def _forms(rows: DataFrame, key: str) -> DataFrame:
+    """key, form, spaces (the ways of counting positions that it is valid in), raw (annotated tokens), tokens of each form of a text.
+
+    Form 0 is the text as it is, valid both ways if no names are adjacent; form 2 has runs of names joined."""
     marked = rows.select(key, annotated(F.coalesce("text", F.lit(""))).alias("marked"))
-    tokens = marked.select(key, F.split("marked", " ").alias("raw"), F.split(canonical(F.col("marked")), " ").alias("tokens"))
-    at = tokens.filter(F.size("tokens") >= n).select(key, "raw", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)).alias("at"))
-    return at.select(key, "at", F.xxhash64(*[F.get("tokens", F.col("at") + i) for i in range(n)]).alias("window"), F.slice("raw", F.col("at") + 1, F.lit(n)).alias("raw"))
+    marked = marked.select(key, "marked", F.regexp_replace("marked", f"({NAME}[^ ]+) (?={NAME})", f"$1{RUN}").alias("joined"))
+
+    def form(k: int, spaces: Column | int, raw: str, text: Column) -> Column:
+        return F.struct(F.lit(k).alias("form"), (spaces if isinstance(spaces, Column) else F.lit(spaces)).alias("spaces"), F.split(raw, " ").alias("raw"), F.split(canonical(text), " ").alias("tokens"))
+
+    whole = F.col("joined") == F.col("marked")
+    forms = F.array_compact(F.array(form(0, F.when(whole, PLACED | JOINED).otherwise(PLACED), "marked", F.col("marked")), F.when(~whole, form(2, JOINED, "joined", F.col("joined")))))
+    return marked.select(key, F.explode(forms).alias("f")).select(key, "f.*")
+
+
+def _windows(forms: DataFrame, n: int) -> DataFrame:
+    """forms with at and window (hash) for each run of n tokens.
+
+    Positions are exploded and a window's tokens are picked by index, all within generated code."""
+    at = forms.filter(F.size("tokens") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)))
+    return at.withColumn("window", F.xxhash64(*[F.get("tokens", F.col("at") + i) for i in range(n)])).drop("tokens").withColumn("n", F.lit(n))
+
+
+def _cut(raw: str, at: str) -> Column:
+    return F.slice(raw, F.col(at) + 1, F.col("n"))
+
+
+def _slots(lined: Column) -> Column:
+    return F.array_distinct(F.flatten(lined))
+
+
+def _n_slots(slots: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(slots, lambda x: x["value"])))
+
+
+def _figures(rank: int, places: Column, shift: Column, size: str, slots: Column) -> Column:
+    changed = F.size(F.filter(slots, lambda x: F.translate(x["value"], NAME, "") != x["met"]))
+    return F.struct(F.lit(rank).alias("rank"), F.size(places).cast("long").alias("n_windows"), (-F.abs(shift)).alias("near"), shift.alias("shift"), F.col(size).alias("item_windows"), _n_slots(slots).cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, cover: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -53,26 +88,55 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, cover: tuple[int, i
     docs (doc_id, text), benchmark (item_id, text). An item is held if its distinct windows found at one
     alignment are the fraction `cover` of all its windows or more, and every value of its slots always meets the
     same value there; n_changed counts values that differ (0: as it is). Of several alignments the best, then the least, is told.
+    If none suffices, alignments that follow each other by up to n tokens are a chain: its windows count together, from the alignment
+    with most windows down, without those whose slots contradict the ones before; there a run of names can stand for one name.
     Items and texts of fewer than n tokens, null and empty texts hold nothing and are held by nothing. Rows that
     share an id are one document or item; a null doc_id is one document, a null item_id is left out. No rows give no rows;
     other columns are not read.
     """
     num, den = cover
-    items = _windows(benchmark.filter("item_id is not null"), "item_id", n)
-    items = items.select("item_id", F.col("at").alias("item_at"), "window", F.col("raw").alias("item_raw"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
+    items = _windows(_forms(benchmark.filter("item_id is not null"), "item_id"), n)
+    items = items.select("item_id", "window", F.col("form").alias("item_form"), F.col("spaces").alias("item_spaces"), F.col("at").alias("item_at"), _cut("raw", "at").alias("item_raw"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct(F.when(F.col("item_form") == 0, F.col("item_at"))).alias("placed"), F.countDistinct(F.when(F.col("item_spaces").bitwiseAND(JOINED) > 0, F.col("item_at"))).alias("joined"))
+    found = _windows(_forms(docs, "doc_id"), n)
     if items.count() <= BROADCAST_WINDOWS:
-        items = F.broadcast(items)
-    met = _windows(docs, "doc_id", n).join(items, "window")
+        met = found.join(F.broadcast(items), "window").withColumn("raw", _cut("raw", "at"))
+    else:
+        met = found.withColumn("raw", _cut("raw", "at")).join(items, "window")
+    both = F.col("spaces").bitwiseAND(F.col("item_spaces"))
+    met = met.filter(both > 0).withColumn("space", F.when(both.bitwiseAND(PLACED) > 0, PLACED).otherwise(JOINED))
     pairs = F.filter(F.arrays_zip("item_raw", "raw"), lambda x: F.substring(x["item_raw"], 1, 1).isin(NUMBER, UNIT, NAME))
-    lined = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"), F.collect_set(pairs).alias("slots"))
-    slots = F.array_distinct(F.flatten("slots"))
-    judged = lined.select("doc_id", "item_id", "shift", F.size("places").alias("n_windows"), slots.alias("slots")).join(sizes, "item_id")
-    n_slots = F.size(F.array_distinct(F.transform("slots", lambda x: x["item_raw"])))
-    changed = F.size(F.filter("slots", lambda x: x["item_raw"] != x["raw"]))
-    held = judged.filter((F.col("n_windows") * den >= F.col("item_windows") * num) & (F.size("slots") == n_slots))
-    rows = held.select("doc_id", "item_id", F.struct(F.col("n_windows").cast("long").alias("n_windows"), (-F.abs("shift")).alias("near"), "shift", "item_windows", n_slots.cast("long").alias("n_slots"), changed.cast("long").alias("n_changed")).alias("best"))
-    best = rows.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    pairs = F.transform(pairs, lambda x: F.struct(x["item_raw"].alias("value"), F.translate(x["raw"], NAME, "").alias("met")))
+    as_is = (F.col("form") == 0) & (F.col("item_form") == 0)
+    met = met.select("doc_id", "item_id", "space", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"), as_is.alias("as_is"))
+    lined = met.groupBy("doc_id", "item_id", "space", "shift").agg(
+        F.collect_set("item_at").alias("places"), _slots(F.collect_set("pairs")).alias("slots"), F.collect_set(F.when(F.col("as_is"), F.col("item_at"))).alias("own_places"), _slots(F.collect_set(F.when(F.col("as_is"), F.col("pairs")))).alias("own_slots")
+    )
+    lined = lined.join(sizes, "item_id")
+
+    def enough(places: str, size: Column) -> Column:
+        return F.size(places) * den >= size * num
+
+    own = lined.filter(enough("own_places", F.col("placed")) & (F.size("own_places") > 0) & (F.size("own_slots") == _n_slots(F.col("own_slots"))))
+    own = own.select("doc_id", "item_id", _figures(1, F.col("own_places"), F.col("shift"), "placed", F.col("own_slots")).alias("best"))
+
+    by_shift = Window.partitionBy("doc_id", "item_id", "space").orderBy("shift")
+    linked = lined.withColumn("apart", (F.col("shift") - F.lag("shift").over(by_shift) > n).cast("int")).withColumn("chain", F.sum(F.coalesce("apart", F.lit(0))).over(by_shift))
+    size = F.when(F.col("space") == PLACED, F.col("placed")).otherwise(F.col("joined")).alias("size")
+    part = F.struct((-F.size("places")).alias("most"), F.abs("shift").alias("near"), "shift", "places", "slots")
+    chains = linked.groupBy("doc_id", "item_id", "space", "chain", size).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+
+    def taken(acc: Column, x: Column) -> Column:
+        slots = F.array_union(acc["slots"], x["slots"])
+        fits = F.size(slots) == _n_slots(slots)
+        return F.struct(F.when(fits, F.array_union(acc["places"], x["places"])).otherwise(acc["places"]).alias("places"), F.when(fits, slots).otherwise(acc["slots"]).alias("slots"))
+
+    first = F.col("parts")[0]
+    none = F.struct(F.slice(first["places"], 1, 0).alias("places"), F.slice(first["slots"], 1, 0).alias("slots"))
+    chains = chains.select("doc_id", "item_id", "size", first["shift"].alias("shift"), F.aggregate("parts", none, taken).alias("all"))
+    chains = chains.filter(enough("all.places", F.col("size")) & (F.size("all.places") > 0))
+    chains = chains.select("doc_id", "item_id", _figures(0, F.col("all.places"), F.col("shift"), "size", F.col("all.slots")).alias("best"))
+    best = own.union(chains).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.n_slots", "best.n_changed")
 
 

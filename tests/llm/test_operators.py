@@ -315,6 +315,16 @@ def test_leaks(spark, docs, none):
     assert decontaminate.leaks(none, b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_shifted(spark):
+    q = "Natalia sold clips to 48 of her friends in the month of may and then Natalia sold half as many clips again so that all of them had enough for the long summer."
+    q = "In spring " + q
+    word, less = q.replace("then Natalia", "then later on Natalia"), q.replace("so that all", "so all")
+    names, odd = q.replace("Natalia", "Mary Ann"), q.replace("then Natalia", "then later on Boris")
+    d = spark.createDataFrame(list(enumerate([word, less, names, odd])), "doc_id long, text string")
+    got = {r.doc_id: r.n_changed for r in decontaminate.leaks(d, spark.createDataFrame([(10, q)], "item_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 1}
+
+
 # ---------------------------------------------------------------- 9
 def test_spans(docs, rows, none):
     first = {}
