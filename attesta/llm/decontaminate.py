@@ -38,6 +38,10 @@ def canonical(marked: Column) -> Column:
     return F.regexp_replace(marked, f"([{NUMBER}-{NAME}])[^ ]+", "$1")
 
 
+def _plain(marked: Column) -> Column:
+    return F.regexp_replace(F.translate(marked, NAME, ""), "ß", "ss")
+
+
 #: Positions are counted in the tokens of a text (PLACED), or in those left when each run of names is one token (JOINED).
 PLACED, JOINED = 1, 2
 
@@ -45,15 +49,16 @@ PLACED, JOINED = 1, 2
 def _forms(rows: DataFrame, key: str) -> DataFrame:
     """key, form, spaces (the ways of counting positions that it is valid in), raw (annotated tokens), tokens of each form of a text.
 
-    Form 0 is the text as it is, valid both ways if no names are adjacent; form 2 has runs of names joined."""
+    Form 0 is the text as it is, valid both ways if no names are adjacent; form 1 has names as plain words and ß, which
+    is SS in capitals, as ss, so that case hides nothing; form 2 has runs of names joined."""
     marked = rows.select(key, annotated(F.coalesce("text", F.lit(""))).alias("marked"))
-    marked = marked.select(key, "marked", F.regexp_replace("marked", f"({NAME}[^ ]+) (?={NAME})", f"$1{RUN}").alias("joined"))
+    marked = marked.select(key, "marked", _plain(F.col("marked")).alias("plain"), F.regexp_replace("marked", f"({NAME}[^ ]+) (?={NAME})", f"$1{RUN}").alias("joined"))
 
     def form(k: int, spaces: Column | int, raw: str, text: Column) -> Column:
         return F.struct(F.lit(k).alias("form"), (spaces if isinstance(spaces, Column) else F.lit(spaces)).alias("spaces"), F.split(raw, " ").alias("raw"), F.split(canonical(text), " ").alias("tokens"))
 
     whole = F.col("joined") == F.col("marked")
-    forms = F.array_compact(F.array(form(0, F.when(whole, PLACED | JOINED).otherwise(PLACED), "marked", F.col("marked")), F.when(~whole, form(2, JOINED, "joined", F.col("joined")))))
+    forms = F.array_compact(F.array(form(0, F.when(whole, PLACED | JOINED).otherwise(PLACED), "marked", F.col("marked")), F.when(F.col("plain") != F.col("marked"), form(1, PLACED, "marked", F.col("plain"))), F.when(~whole, form(2, JOINED, "joined", F.col("joined")))))
     return marked.select(key, F.explode(forms).alias("f")).select(key, "f.*")
 
 
@@ -78,7 +83,7 @@ def _n_slots(slots: Column) -> Column:
 
 
 def _figures(rank: int, places: Column, shift: Column, size: str, slots: Column) -> Column:
-    changed = F.size(F.filter(slots, lambda x: F.translate(x["value"], NAME, "") != x["met"]))
+    changed = F.size(F.filter(slots, lambda x: F.translate(x["value"], NAME, "") != x["met"] if rank else _plain(x["value"]) != _plain(x["met"])))
     return F.struct(F.lit(rank).alias("rank"), F.size(places).cast("long").alias("n_windows"), (-F.abs(shift)).alias("near"), shift.alias("shift"), F.col(size).alias("item_windows"), _n_slots(slots).cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
 
 
@@ -89,7 +94,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, cover: tuple[int, i
     alignment are the fraction `cover` of all its windows or more, and every value of its slots always meets the
     same value there; n_changed counts values that differ (0: as it is). Of several alignments the best, then the least, is told.
     If none suffices, alignments that follow each other by up to n tokens are a chain: its windows count together, from the alignment
-    with most windows down, without those whose slots contradict the ones before; there a run of names can stand for one name.
+    with most windows down, without those whose slots contradict the ones before; there a run of names can stand for one name,
+    and names also meet as plain words in any case.
     Items and texts of fewer than n tokens, null and empty texts hold nothing and are held by nothing. Rows that
     share an id are one document or item; a null doc_id is one document, a null item_id is left out. No rows give no rows;
     other columns are not read.

@@ -325,6 +325,13 @@ def test_leaks_shifted(spark):
     assert got == {0: 0, 1: 0, 2: 1}
 
 
+def test_leaks_case(spark):
+    q = "In spring Natalia sold clips to 48 of her friends in the month of May and then Natalia sold half as many clips again zu Fuß."
+    d = spark.createDataFrame(list(enumerate([q.upper(), q.title(), q.lower(), q.upper().replace("48", "52")])), "doc_id long, text string")
+    got = {r.doc_id: r.n_changed for r in decontaminate.leaks(d, spark.createDataFrame([(10, q)], "item_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1}
+
+
 # ---------------------------------------------------------------- 9
 def test_spans(docs, rows, none):
     first = {}
