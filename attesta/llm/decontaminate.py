@@ -51,7 +51,7 @@ def _forms(rows: DataFrame, key: str) -> DataFrame:
 
     Form 0 is the text as it is, valid both ways if no names are adjacent; form 1 has names as plain words and ß, which
     is SS in capitals, as ss, so that case hides nothing; form 2 has runs of names joined."""
-    marked = rows.select(key, annotated(F.coalesce("text", F.lit(""))).alias("marked"))
+    marked = rows.select(key, annotated(F.coalesce("text", F.lit(""))).alias("marked")).filter("marked <> ''")
     marked = marked.select(key, "marked", _plain(F.col("marked")).alias("plain"), F.regexp_replace("marked", f"({NAME}[^ ]+) (?={NAME})", f"$1{RUN}").alias("joined"))
 
     def form(k: int, spaces: Column | int, raw: str, text: Column) -> Column:
@@ -62,12 +62,13 @@ def _forms(rows: DataFrame, key: str) -> DataFrame:
     return marked.select(key, F.explode(forms).alias("f")).select(key, "f.*")
 
 
-def _windows(forms: DataFrame, n: int) -> DataFrame:
-    """forms with at and window (hash) for each run of n tokens.
+def _windows(forms: DataFrame, n: Column, lengths: list[int]) -> DataFrame:
+    """forms with n (one of lengths), at and window (hash) for each run of n tokens.
 
     Positions are exploded and a window's tokens are picked by index, all within generated code."""
-    at = forms.filter(F.size("tokens") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)))
-    return at.withColumn("window", F.xxhash64(*[F.get("tokens", F.col("at") + i) for i in range(n)])).drop("tokens").withColumn("n", F.lit(n))
+    at = forms.withColumn("n", n).filter(F.size("tokens") >= F.col("n")).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("n"))))
+    hashes = {k: F.xxhash64(*[F.get("tokens", F.col("at") + i) for i in range(k)]) for k in lengths}
+    return at.withColumn("window", hashes[lengths[0]] if len(lengths) == 1 else F.coalesce(*[F.when(F.col("n") == k, h) for k, h in hashes.items()]))
 
 
 def _cut(raw: str, at: str) -> Column:
@@ -96,22 +97,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, cover: tuple[int, i
     If none suffices, alignments that follow each other by up to n tokens are a chain: its windows count together, from the alignment
     with most windows down, without those whose slots contradict the ones before; there a run of names can stand for one name,
     and names also meet as plain words in any case.
-    Items and texts of fewer than n tokens, null and empty texts hold nothing and are held by nothing. Rows that
+    An item of fewer than n tokens is one window of its whole length; if it is nothing but slots, only equal values meet.
+    Null and empty texts hold nothing and are held by nothing. Rows that
     share an id are one document or item; a null doc_id is one document, a null item_id is left out. No rows give no rows;
     other columns are not read.
     """
     num, den = cover
-    items = _windows(_forms(benchmark.filter("item_id is not null"), "item_id"), n)
+    items = _forms(benchmark.filter("item_id is not null"), "item_id").filter((F.size("tokens") >= n) | (F.col("form") < 2))
+    items = _windows(items, F.least(F.size("tokens"), F.lit(n)), list(range(1, n + 1)))
     items = items.select("item_id", "window", F.col("form").alias("item_form"), F.col("spaces").alias("item_spaces"), F.col("at").alias("item_at"), _cut("raw", "at").alias("item_raw"))
     sizes = items.groupBy("item_id").agg(F.countDistinct(F.when(F.col("item_form") == 0, F.col("item_at"))).alias("placed"), F.countDistinct(F.when(F.col("item_spaces").bitwiseAND(JOINED) > 0, F.col("item_at"))).alias("joined"))
-    found = _windows(_forms(docs, "doc_id"), n)
-    if items.count() <= BROADCAST_WINDOWS:
+    counts = {r["n"]: r["count"] for r in items.groupBy(F.size("item_raw").alias("n")).count().collect()}
+    lengths = sorted({*counts, n})
+    found = _windows(_forms(docs, "doc_id"), F.lit(n) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))), lengths).drop("tokens")
+    if sum(counts.values()) <= BROADCAST_WINDOWS:
         met = found.join(F.broadcast(items), "window").withColumn("raw", _cut("raw", "at"))
     else:
         met = found.withColumn("raw", _cut("raw", "at")).join(items, "window")
     both = F.col("spaces").bitwiseAND(F.col("item_spaces"))
     met = met.filter(both > 0).withColumn("space", F.when(both.bitwiseAND(PLACED) > 0, PLACED).otherwise(JOINED))
-    pairs = F.filter(F.arrays_zip("item_raw", "raw"), lambda x: F.substring(x["item_raw"], 1, 1).isin(NUMBER, UNIT, NAME))
+    is_slot = lambda raw: F.substring(raw, 1, 1).isin(NUMBER, UNIT, NAME)
+    met = met.filter((F.col("n") == n) | ~F.forall("item_raw", is_slot) | (F.transform("item_raw", _plain) == F.transform("raw", _plain)))
+    pairs = F.filter(F.arrays_zip("item_raw", "raw"), lambda x: is_slot(x["item_raw"]))
     pairs = F.transform(pairs, lambda x: F.struct(x["item_raw"].alias("value"), F.translate(x["raw"], NAME, "").alias("met")))
     as_is = (F.col("form") == 0) & (F.col("item_form") == 0)
     met = met.select("doc_id", "item_id", "space", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"), as_is.alias("as_is"))
@@ -123,14 +130,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, cover: tuple[int, i
     def enough(places: str, size: Column) -> Column:
         return F.size(places) * den >= size * num
 
-    own = lined.filter(enough("own_places", F.col("placed")) & (F.size("own_places") > 0) & (F.size("own_slots") == _n_slots(F.col("own_slots"))))
-    own = own.select("doc_id", "item_id", _figures(1, F.col("own_places"), F.col("shift"), "placed", F.col("own_slots")).alias("best"))
+    own = enough("own_places", F.col("placed")) & (F.size("own_places") > 0) & (F.size("own_slots") == _n_slots(F.col("own_slots")))
+    own = F.when(own, _figures(1, F.col("own_places"), F.col("shift"), "placed", F.col("own_slots")))
 
     by_shift = Window.partitionBy("doc_id", "item_id", "space").orderBy("shift")
     linked = lined.withColumn("apart", (F.col("shift") - F.lag("shift").over(by_shift) > n).cast("int")).withColumn("chain", F.sum(F.coalesce("apart", F.lit(0))).over(by_shift))
     size = F.when(F.col("space") == PLACED, F.col("placed")).otherwise(F.col("joined")).alias("size")
     part = F.struct((-F.size("places")).alias("most"), F.abs("shift").alias("near"), "shift", "places", "slots")
-    chains = linked.groupBy("doc_id", "item_id", "space", "chain", size).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    chains = linked.groupBy("doc_id", "item_id", "space", "chain", size).agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(own).alias("own"))
 
     def taken(acc: Column, x: Column) -> Column:
         slots = F.array_union(acc["slots"], x["slots"])
@@ -139,10 +146,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, cover: tuple[int, i
 
     first = F.col("parts")[0]
     none = F.struct(F.slice(first["places"], 1, 0).alias("places"), F.slice(first["slots"], 1, 0).alias("slots"))
-    chains = chains.select("doc_id", "item_id", "size", first["shift"].alias("shift"), F.aggregate("parts", none, taken).alias("all"))
-    chains = chains.filter(enough("all.places", F.col("size")) & (F.size("all.places") > 0))
-    chains = chains.select("doc_id", "item_id", _figures(0, F.col("all.places"), F.col("shift"), "size", F.col("all.slots")).alias("best"))
-    best = own.union(chains).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    chains = chains.select("doc_id", "item_id", "size", "own", first["shift"].alias("shift"), F.aggregate("parts", none, taken).alias("all"))
+    whole = F.when(enough("all.places", F.col("size")) & (F.size("all.places") > 0), _figures(0, F.col("all.places"), F.col("shift"), "size", F.col("all.slots")))
+    best = chains.groupBy("doc_id", "item_id").agg(F.max(F.coalesce("own", whole)).alias("best")).filter("best is not null")
     return best.select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.n_slots", "best.n_changed")
 
 

@@ -332,6 +332,13 @@ def test_leaks_case(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 1}
 
 
+def test_leaks_short(spark):
+    d = spark.createDataFrame([(0, "What is 12 times 7?"), (1, "Asked: what is 9 times 4? He said so."), (2, "What is 12 plus 7?"), (3, "in 12 of 7 km"), (4, "12 7"), (5, ""), (6, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(10, "What is 12 times 7?"), (11, "12 7"), (12, ""), (13, None), (14, "...")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.n_changed) for r in decontaminate.leaks(d, b).collect()}
+    assert got == {(0, 10): (1, 1, 0), (1, 10): (1, 1, 2), (4, 11): (1, 1, 0)}
+
+
 # ---------------------------------------------------------------- 9
 def test_spans(docs, rows, none):
     first = {}
