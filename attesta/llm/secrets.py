@@ -90,13 +90,16 @@ _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 _WORDLIKE = re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+")
 
 
-def _printable(data: bytes) -> str | None:
-    """The text that bytes are, if they are UTF-8 text without control characters."""
+def _text(data: bytes) -> str:
+    """The text of bytes: UTF-16 if marked so or if a third of them are NUL, else UTF-8, else Latin-1, so that each layer can be scanned."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", "replace")
+    if data.count(0) * 3 >= len(data):
+        return data.decode("utf-16-le" if data[1::2].count(0) >= data[::2].count(0) else "utf-16-be", "replace")
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return data.decode("latin-1")
 
 
 def _inflated(data: bytes, most: int) -> bytes | None:
@@ -121,11 +124,11 @@ def _unpacked(data: bytes, most: int) -> str | None:
     while (more := _inflated(data, most)) is not None and (key := hashlib.sha256(data).digest()) not in seen:
         seen.add(key)
         data = more
-    return _printable(data)
+    return _text(data)
 
 
-def _percent(run: str) -> str | None:
-    return _printable(bytes.fromhex(run.replace("%", "")))
+def _percent(run: str) -> str:
+    return _text(bytes.fromhex(run.replace("%", "")))
 
 
 def _unescaped(run: str) -> str | None:
@@ -151,7 +154,7 @@ def layers(layer: Layer, most: int) -> Iterator[Layer]:
     """What a layer encodes: itself with all URL escapes, or all Unicode escapes, undone; each base64 or hex run undone."""
     text = layer.text
     if "%" in text:
-        changes = [(m.start(), m.end(), d) for m in _PERCENT.finditer(text) if (d := _percent(m[0])) is not None]
+        changes = [(m.start(), m.end(), _percent(m[0])) for m in _PERCENT.finditer(text)]
         if changes:
             yield layer.rewritten(changes)
     if "\\" in text or "&#" in text:

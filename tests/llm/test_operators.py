@@ -280,6 +280,12 @@ def test_secret_layers():
     assert secrets.find("nothing to see" * 1000) == ([], [])
 
 
+@pytest.mark.parametrize("data", [f"a{c}b password = hunter2abc".encode() for c in "\u00a0\u3000\u200b\u00ad\ufeff\u2028\0\x1b\f"] + ["né password = hunter2abc".encode(e) for e in ("latin-1", "utf-16", "utf-16-le", "utf-16-be")])
+def test_secret_bytes(data):
+    for x in (base64.b64encode(data).decode(), data.hex(), base64.b64encode(gzip.compress(data)).decode(), "".join(f"%{c:02x}" for c in data)):
+        assert any(k == "assign" for _, _, k in secrets.find("see " + x + " end")[1]), x
+
+
 def test_secret_table(docs, rows, none):
     got = secrets.secret_spans(docs)
     assert got.count() == len(rows) and secrets.secret_spans(none).count() == 0
