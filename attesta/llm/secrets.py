@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -86,6 +85,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+|(?:&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})*")
+#: Bytes that two blocks of unpacked text share; what is encoded in a longer run can be cut at a block's end.
+OVERLAP = 1 << 20
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 _WORDLIKE = re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+")
 
@@ -102,29 +104,59 @@ def _text(data: bytes) -> str:
         return data.decode("latin-1")
 
 
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """Unpacked bytes if data is gzip, zlib, bzip2 or xz; no more than `most`, so that a bomb can't fill the memory."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, most)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, most)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        pass
-    return None
-
-
-def _unpacked(data: bytes, most: int) -> str | None:
-    """Text of decoded bytes: unpacked as often as they are packed (with a stop at what was seen before), then read as text."""
-    seen = set()
-    while (more := _inflated(data, most)) is not None and (key := hashlib.sha256(data).digest()) not in seen:
-        seen.add(key)
-        data = more
-    return _text(data)
+def _packing(data: bytes):  # noqa: ANN202
+    """What unpacks data if it is gzip, zlib, bzip2 or xz."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _inflated(data: bytes, most: int) -> Iterator[bytes]:
+    """Unpacked bytes of all members of data, `most` at a time, so that a bomb can't fill the memory, and what follows
+    the last; nothing if data is not packed."""
+    some = False
+    while (unpack := _packing(data)) is not None:
+        try:
+            while not unpack.eof:
+                if out := unpack.decompress(data, most):
+                    some = True
+                    yield out
+                data = getattr(unpack, "unconsumed_tail", b"")
+                if not out and not data and not unpack.eof:  # it ends too early
+                    return
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            return
+        data = unpack.unused_data.lstrip(b"\0")
+    if some and data:
+        yield data
+
+
+def _blocks(data: bytes, most: int) -> Iterator[bytes]:
+    """_inflated in blocks that repeat the last OVERLAP bytes of the one before."""
+    held = b""
+    fresh = False
+    for chunk in _inflated(data, most):
+        held, fresh = held + chunk, True
+        if len(held) >= most + OVERLAP:
+            yield held
+            held, fresh = held[-OVERLAP:], False
+    if fresh:
+        yield held
+
+
+def _unpacked(data: bytes, most: int, seen: frozenset[bytes] = frozenset()) -> Iterator[str]:
+    """Text of decoded bytes in blocks: unpacked as often as they are packed (with a stop at what was seen before), then read as text."""
+    key, some = hashlib.sha256(data).digest(), False
+    if key not in seen:
+        for block in _blocks(data, most):
+            some = True
+            yield from _unpacked(block, most, seen | {key})
+    if not some and data:
+        yield _text(data)
 
 
 def _percent(run: str) -> str:
@@ -140,14 +172,12 @@ def _unescaped(run: str) -> str | None:
     return text
 
 
-def _base64(run: str, most: int) -> str | None:
-    body = run.rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1 or _WORDLIKE.fullmatch(body):
-        return None
-    try:
-        return _unpacked(base64.b64decode(body + "=" * (-len(body) % 4)), most)
-    except (binascii.Error, ValueError):
-        return None
+def _base64(run: str, most: int) -> Iterator[str]:
+    body = re.sub(r"\s+", "", run).rstrip("=").translate({45: 43, 95: 47})
+    if len(body) % 4 == 1 and len(run.split()) > 1:
+        body = body[:-1]  # a word of the text after the last line was taken in
+    if len(body) % 4 != 1 and not _WORDLIKE.fullmatch(body):
+        yield from _unpacked(base64.b64decode(body + "=" * (-len(body) % 4)), most)
 
 
 def layers(layer: Layer, most: int) -> Iterator[Layer]:
@@ -162,18 +192,22 @@ def layers(layer: Layer, most: int) -> Iterator[Layer]:
         if changes:
             yield layer.rewritten(changes)
     for m in _BASE64.finditer(text):
-        if (d := _base64(m[0], most)) is not None:
+        for d in _base64(m[0], most):
             yield Layer(d, [(0, *layer.span(m.start(), m.end()))])
+    for m in _WRAPPED.finditer(text):
+        for i in {m.start(), m.start(1)}:  # the first line may be a heading such as that of PEM
+            for d in _base64(text[i : m.end()], most):
+                yield Layer(d, [(0, *layer.span(i, m.end()))])
     for m in _HEXRUN.finditer(text):
-        if (d := _unpacked(bytes.fromhex(m[0]), most)) is not None:
+        for d in _unpacked(bytes.fromhex(m[0]), most):
             yield Layer(d, [(0, *layer.span(m.start(), m.end()))])
 
 
 def find(text: str | None, most: int = 16 << 20) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans of a text, and all spans with those of decoded layers mapped to the text, each by start, then kind.
 
-    A layer whose text has been met at the same place is not taken up again, so the worklist ends at its fixpoint. `most`
-    bounds the bytes that one packed run may unpack to."""
+    A layer whose text has been met at the same place is not taken up again, so the worklist ends at its fixpoint. Packed runs
+    are unpacked and scanned whole, in blocks of about `most` bytes."""
     text = text or ""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(scan(text), key=order)

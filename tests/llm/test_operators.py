@@ -1,8 +1,10 @@
 """Each operator against a plain version on small fixtures, with nulls, ties, repeats, empty tables and clashing columns."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -286,6 +288,20 @@ def test_secret_bytes(data):
         assert any(k == "assign" for _, _, k in secrets.find("see " + x + " end")[1]), x
 
 
+def test_secret_packed_whole(monkeypatch):
+    secret, pad = b"password = hunter2hunter2 ", random.Random(5).randbytes(300).hex().encode()
+    hit = lambda x, **kw: any(k == "assign" for _, _, k in secrets.find("see\n" + x + "\nend", **kw)[1])
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        assert hit(base64.b64encode(pack(b"one " * 9) + pack(secret)).decode()), pack
+        for wrapped in (base64.encodebytes(pack(pad + secret)).decode(), "-----BEGIN CERTIFICATE-----\n" + base64.encodebytes(pack(pad + secret)).decode() + "-----END"):
+            assert hit(wrapped), wrapped
+    assert all(hit(base64.encodebytes(b"x" * k + b" " + secret + b"y" * 40).decode()) for k in range(40, 60))
+    monkeypatch.setattr(secrets, "OVERLAP", 64)
+    long = "é ".encode() * 999
+    for k in range(0, 300, 7):
+        assert hit(base64.b64encode(gzip.compress(long + b"." * k + b" " + secret + long)).decode(), most=300), k
+
+
 def test_secret_table(docs, rows, none):
     got = secrets.secret_spans(docs)
     assert got.count() == len(rows) and secrets.secret_spans(none).count() == 0
