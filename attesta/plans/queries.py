@@ -177,7 +177,7 @@ def redact_conversations(spark, d):  # noqa: ANN001, ANN201
 @query()
 def text_hygiene(spark, d):  # noqa: ANN001, ANN201
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.clean_text(t).alias("clean"), T.fold(t).alias("folded"), T.label_key(F.substring(t, 1, 80)).alias("key"), T.utf16_units(t).alias("units"))
+    return table(spark, d, "documents").select("doc_id", T.clean_text(t).alias("clean"), T.fold(t).alias("folded"), T.label_key(t).alias("key"), T.utf16_units(t).alias("units"))
 
 
 SPLIT_SQL = r"list_filter(string_split_regex({0}, '[ \n\t]+'), lambda w: w <> '')"

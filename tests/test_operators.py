@@ -10,6 +10,7 @@ from attesta.functions import text as T
 from attesta.functions import url as U
 from attesta.operators import relate as R
 from attesta.operators import resolve as V
+from attesta.plans.queries import QUERIES
 from attesta.sources import html as H
 from attesta.sources import tables as S
 from attesta.streaming import state as K
@@ -71,6 +72,13 @@ def test_text(spark):
     assert one(spark, T.utf16_units(F.col("t")), t="a😀") == 3
 
 
+def test_text_hygiene_reads_whole_texts(spark, tmp_path):
+    texts = {1: "Wide label (mm), " * 9 + "one", 2: "Wide label (mm), " * 9 + "two", 3: "x", 4: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.key for r in QUERIES["text_hygiene"](spark, str(tmp_path)).collect()}
+    assert got == {i: T._label_key(t) for i, t in texts.items()} and got[1] != got[2]
+
+
 def test_urls(spark):
     assert one(spark, U.canonical_url(F.col("u")), u="HTTPS://www.Ex.com:443//a//b/?utm_x=1&q=2&fbclid=3#f") == "https://ex.com/a/b?q=2"
     assert one(spark, U.canonical_url(F.col("u")), u="ftp://x") == ""
