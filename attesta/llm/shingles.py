@@ -99,3 +99,14 @@ class MinHash:
             np.minimum(least, y.min(axis=1), out=least)
         byte = (mixed(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
         return byte.reshape(self.trees, self.depth).copy().view(">u8").ravel().astype(np.uint64)
+
+    @staticmethod
+    def sketch(keys: np.ndarray) -> bytes:
+        """The two low bits of each hash, as two planes: hashes of two sets agree in both with a probability of J + (1 - J) / 4."""
+        byte = keys.astype(">u8").view(np.uint8)
+        return np.packbits(byte & 1).tobytes() + np.packbits(byte >> 1 & 1).tobytes()
+
+    def least_agreement(self, similarity: float, sigmas: float = 4.0) -> int:
+        """Hashes in which the sketches of sets of that similarity agree, less so many standard deviations."""
+        n, p = self.trees * self.depth, similarity + (1 - similarity) / 4
+        return int(n * p - sigmas * (n * p * (1 - p)) ** 0.5)

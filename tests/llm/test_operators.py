@@ -152,8 +152,49 @@ def test_near_duplicates_edges(docs, rows, none):
     assert stay[0].asDict().keys() == {"doc_id", "text", "salt", "node", "at"}
 
 
-def test_prefix_depth():
-    assert jaccard.prefix_depth(0.8, 32, 0.9999) == 6 and jaccard.prefix_depth(0.8, 1, 0.999999) == 1
+def test_forest_depths():
+    miss = lambda depths: np.prod([1 - 0.8**d for d in depths])
+    even = jaccard.forest_depths(0.8, 32, 0.9999, {}, 5)
+    assert jaccard.uniform_depth(0.8, 32, 0.9999) == 6 and min(even) >= 5 and miss(even) <= 1e-4
+    hot = {(3, d): 10**6 for d in range(1, 8)}  # a tree full of matches is shortened last
+    depths = jaccard.forest_depths(0.8, 32, 0.9999, hot, 5)
+    assert depths[3] == 8 and miss(depths) <= 1e-4 and min(depths) >= 5
+    assert jaccard.forest_depths(0.8, 1, 0.999999, {}) == [1]
+
+
+def test_sorted_trees(spark):
+    rng = random.Random(2)
+    rows = [(i, t, rng.choice([0, 1 << 40, 1 << 62, -1]) ^ rng.choice([0, 0, 3, 1 << 8, 1 << 20, 1 << 33])) for i in range(300) for t in range(3)]
+    unsigned = lambda k: (k & (1 << 64) - 1).to_bytes(8, "big")
+    common = lambda a, b: next((j for j in range(8) if a[j] != b[j]), 8)
+    got = {(r.doc_id, r.tree): r.matched for r in jaccard._matched(spark.createDataFrame(rows, "doc_id long, tree int, key long"), 2).collect()}
+    for i, t, k in rows:
+        best = max(common(unsigned(k), unsigned(o)) for j, u, o in rows if u == t and j != i)
+        assert got.get((i, t), 0) == best or got.get((i, t)) == 8 or best < 2  # ends of ranges count as matched
+
+
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_templates_stay_apart(spark, crowd):
+    """Texts of half a template: no pair is near, so none is linked and no part of them is verified as a whole."""
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(120)]
+    rows = [(i, " ".join(shared + [f"o{i}_{k}{rng.randrange(9)}" for k in range(60)])) for i in range(150)]
+    rows += [(1000 + i, rows[i][1].replace("_7", "_x")) for i in range(0, 150, 10)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()}
+    assert got == brute_near(rows)
+
+
+@pytest.mark.parametrize("rate", [0.8, 0.85, 0.95])
+def test_sketches(rate):
+    """Sketches of pairs at the threshold or above pass; those of pairs far below don't."""
+    forest, rng = jaccard.MinHash(32), np.random.default_rng(1)
+    least, passed = forest.least_agreement(0.8), []
+    for similarity in (rate, 0.5):
+        n = 2000
+        common = rng.integers(0, 1 << 63, int(n * similarity), np.uint64)
+        a, b = (forest.sketch(forest.keys(np.concatenate((common, rng.integers(0, 1 << 63, (n - len(common)) // 2, np.uint64))))) for _ in range(2))
+        passed.append(256 - sum((x | y).bit_count() for x, y in zip(*(bytes(i ^ j for i, j in zip(a[k : k + 32], b[k : k + 32])) for k in (0, 32)))) >= least)
+    assert passed == [True, False]
 
 
 # ---------------------------------------------------------------- 4
