@@ -10,6 +10,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +83,9 @@ class Layer:
 
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: A run of escaped and plain characters of URLs with an escape in it, and how packed bytes begin.
+_URLRUN = re.compile(r"(?<![A-Za-z0-9%._~!*'()+,;:@/?&=$-])[A-Za-z0-9._~!*'()+,;:@/?&=$-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~!*'()+,;:@/?&=$-]*+)++")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+|(?:&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -89,7 +93,10 @@ _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]
 #: Bytes that two blocks of unpacked text share; what is encoded in a longer run can be cut at a block's end.
 OVERLAP = 1 << 20
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
-_WORDLIKE = re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+")
+#: How gzip, bzip2, xz and zlib streams begin in base64: a packed part may follow other characters of the alphabet, such as a path.
+_PACKED64 = re.compile(r"H4sI|Qlpo|/Td6WFoA|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+#: Bytes without any of these (NUL left out, for UTF-16) hold no span and encode nothing, so they need not become a layer.
+_TRIGGER = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9A-Fa-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|&#|[A-Za-z0-9+/_-]{16}")
 
 
 def _text(data: bytes) -> str:
@@ -164,30 +171,60 @@ def _percent(run: str) -> str:
 
 
 def _unescaped(run: str) -> str | None:
-    codes = [int(next(g for g in m.groups()[:4] if g), 16) if not m[5] else int(m[5]) for m in _ESCAPE.finditer(run)]
     try:
-        text = "".join(map(chr, codes)).encode("utf-16", "surrogatepass").decode("utf-16")  # joins surrogate pairs
+        text = "".join(map(chr, _codes(run))).encode("utf-16", "surrogatepass").decode("utf-16")  # joins surrogate pairs
     except (ValueError, OverflowError, UnicodeDecodeError):
         return None
     return text
 
 
 def _base64(run: str, most: int) -> Iterator[str]:
-    body = re.sub(r"\s+", "", run).rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1 and len(run.split()) > 1:
-        body = body[:-1]  # a word of the text after the last line was taken in
-    if len(body) % 4 != 1 and not _WORDLIKE.fullmatch(body):
-        yield from _unpacked(base64.b64decode(body + "=" * (-len(body) % 4)), most)
+    """What a run of base64 characters decodes to, in each of the four alignments, as characters before it may belong to something else;
+    and what is unpacked from each place where a packed stream begins."""
+    for body in re.split("=+", re.sub(r"\s+", "", run).translate({45: 43, 95: 47})):  # padding ends a stretch
+
+        def decoded(at: int) -> bytes:
+            part = body[at : len(body) - ((len(body) - at) % 4 == 1)]  # a last character by itself has no whole byte
+            return base64.b64decode(part + "=" * (-len(part) % 4))
+
+        for at in range(min(4, len(body))):
+            data = decoded(at)
+            if _packing(data) is not None:
+                yield from _unpacked(data, most)  # as text if it only looks packed
+            elif _TRIGGER.search(data.replace(b"\0", b"") if 0 in data else data):
+                yield _text(data)
+        for m in _PACKED64.finditer(body, 4):
+            data = decoded(m.start())
+            if _packing(data) is not None:
+                yield from _unpacked(data, most)
+
+
+def _codes(run: str) -> list[int]:
+    return [int(next(g for g in m.groups()[:4] if g), 16) if not m[5] else int(m[5]) for m in _ESCAPE.finditer(run)]
+
+
+def _unpacked_in(data: bytes, most: int) -> Iterator[str]:
+    for m in _MAGIC.finditer(data):
+        if next(_inflated(data[m.start() :], 1), None):
+            yield from _unpacked(data[m.start() :], most)
 
 
 def layers(layer: Layer, most: int) -> Iterator[Layer]:
-    """What a layer encodes: itself with all URL escapes, or all Unicode escapes, undone; each base64 or hex run undone."""
+    """What a layer encodes: itself with all URL escapes, or all Unicode escapes, undone; each base64 or hex run undone; what is
+    unpacked from bytes that are written with escapes."""
     text = layer.text
     if "%" in text:
+        for m in _URLRUN.finditer(text):
+            for d in _unpacked_in(unquote_to_bytes(m[0]), most):
+                yield Layer(d, [(0, *layer.span(m.start(), m.end()))])
         changes = [(m.start(), m.end(), _percent(m[0])) for m in _PERCENT.finditer(text)]
         if changes:
             yield layer.rewritten(changes)
     if "\\" in text or "&#" in text:
+        for m in _UNICODE.finditer(text):
+            if max(codes := _codes(m[0])) < 256:
+                for d in _unpacked_in(bytes(codes), most):
+                    yield Layer(d, [(0, *layer.span(m.start(), m.end()))])
         changes = [(m.start(), m.end(), d) for m in _UNICODE.finditer(text) if (d := _unescaped(m[0])) is not None]
         if changes:
             yield layer.rewritten(changes)
