@@ -20,9 +20,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); an error on a cluster that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:  # only where the cluster names none, as in tests
+    if not base:  # a local session is one machine, so a folder of its own will do
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

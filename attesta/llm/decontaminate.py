@@ -7,6 +7,9 @@ fills its slots consistently (equal values of the item meet equal values in the
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +68,16 @@ def _forms(rows: DataFrame, key: str) -> DataFrame:
 def _windows(forms: DataFrame, n: Column, lengths: list[int]) -> DataFrame:
     """forms with n (one of lengths), at and window (hash) for each run of n tokens.
 
-    Positions are exploded and a window's tokens are picked by index, all within generated code."""
+    Positions are exploded and a window's tokens are picked by index, all within generated code. A window of slots alone is hashed by their
+    values: as placeholders, tables of numbers would all meet in one hash."""
     at = forms.withColumn("n", n).filter(F.size("tokens") >= F.col("n")).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("n"))))
-    hashes = {k: F.xxhash64(*[F.get("tokens", F.col("at") + i) for i in range(k)]) for k in lengths}
+
+    def hashed(k: int) -> Column:
+        tokens = [F.get("tokens", F.col("at") + i) for i in range(k)]
+        bare = reduce(and_, [t.isin(NUMBER, UNIT, NAME) for t in tokens])  # mostly settled by the first
+        return F.when(bare, F.xxhash64(F.lit(NUMBER), *[F.lower(F.get("raw", F.col("at") + i)) for i in range(k)])).otherwise(F.xxhash64(*tokens))
+
+    hashes = {k: hashed(k) for k in lengths}
     return at.withColumn("window", hashes[lengths[0]] if len(lengths) == 1 else F.coalesce(*[F.when(F.col("n") == k, h) for k, h in hashes.items()]))
 
 
@@ -97,7 +107,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, cover: tuple[int, i
     If none suffices, alignments that follow each other by up to n tokens are a chain: its windows count together, from the alignment
     with most windows down, without those whose slots contradict the ones before; there a run of names can stand for one name,
     and names also meet as plain words in any case.
-    An item of fewer than n tokens is one window of its whole length; if it is nothing but slots, only equal values meet.
+    An item of fewer than n tokens is one window of its whole length. Of windows that are nothing but slots only those of equal values meet.
     Null and empty texts hold nothing and are held by nothing. Rows that
     share an id are one document or item; a null doc_id is one document, a null item_id is left out. No rows give no rows;
     other columns are not read.
