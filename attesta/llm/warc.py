@@ -1,15 +1,18 @@
 """WARC 1.1 archives: a Python data source that writes and reads them.
 
-Writing: rows (id, uri, payload, record_type, refers_to, digest, payload_bytes) become records, a file for each
-task and max_file_bytes. Each record of a file is a gzip member of its own if compression is gzip.
-Reading: files are planned into partitions by size; conditions on record_type and on ids are
-pushed down. Headers are parsed first; a payload that the conditions exclude, or that the read does not ask for
+Writing: rows (page_id, uri, payload, record_type, refers_to, digest, payload_bytes) become records, a file for each
+task and max_file_bytes. Each record of a file is a gzip member of its own if compression is gzip. A manifest names
+the files and, for every index_bytes of them, a place where a record begins.
+Reading: files, or stretches of them that the manifest marks, are planned into partitions by size; archives of other writers, without a
+manifest, are read file by file, every record of them. Conditions on record_type, page_id, refers_to, record_id, uri and digest
+are pushed down. Headers are parsed first; a payload that the conditions exclude, or that the read does not ask for
 (option payload = false), is stepped over: by seeking in plain files, by inflating without decoding in gzip ones.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,33 +26,37 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .binary import _open
 from .common import scratch
 
-FIELDS = "page_id long, uri string, record_type string, refers_to long, digest string, payload_bytes long, payload binary"
-_ARROW = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+FIELDS = "page_id long, uri string, record_type string, refers_to long, digest string, payload_bytes long, payload binary, record_id string, date string, content_type string"
+_ARROW = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("date", pa.string()), ("content_type", pa.string())])
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"  # pages carry no fetch time
 
 
-def _record_id(page_id: int | None) -> str:
-    """Stable URN of a page's record; the reading side takes the number back out of it."""
-    return "<urn:attesta:page:" + ("none" if page_id is None else str(page_id)) + ">"
+_OWN = re.compile(r"<urn:attesta:page:(none|-?[0-9]+)(?::[0-9a-f]*)?>")
+
+
+def _record_id(page_id: int | None, digest: str | None) -> str:
+    """Stable URN of a page's record, by its payload too, as pages can share an id; the reading side takes the number back out of it."""
+    return "<urn:attesta:page:" + ("none" if page_id is None else str(page_id)) + ":" + (digest or "") + ">"
 
 
 def _page_of(urn: str | None) -> int | None:
-    last = (urn or "none>")[:-1].rpartition(":")[2]
-    return None if last == "none" else int(last)
+    """Null for a record of another writer."""
+    m = _OWN.fullmatch(urn or "")
+    return None if m is None or m[1] == "none" else int(m[1])
 
 
 def encode_record(row: dict) -> bytes:
     """One record. Header values keep no line ends, so a hostile uri cannot add fields."""
     payload = row["payload"] or b""
-    fields = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", _record_id(row["page_id"])), ("WARC-Date", _DATE)]
+    fields = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", _record_id(row["page_id"], row["digest"])), ("WARC-Date", _DATE)]
     if row["uri"] is not None:
         fields.append(("WARC-Target-URI", "".join(c for c in row["uri"] if c not in "\r\n")))
     fields.append(("WARC-Payload-Digest", "sha1:" + (row["digest"] or "")))
     fields.append(("X-Payload-Bytes", str(row["payload_bytes"])))
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if row["record_type"] == "revisit":
-        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", _record_id(row["refers_to"]))]
+        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", _record_id(row["refers_to"], row["digest"]))]
         block = http + b"\r\n"
     else:
         block = http + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
@@ -74,6 +81,23 @@ def parse_header(raw: bytes) -> dict[str, str]:
     return out
 
 
+class Stretch:
+    """Bytes from start to end of a file, to be read and sought in from where it stands."""
+
+    def __init__(self, file, start: int, end: int):  # noqa: ANN001
+        self.file, self.left = file, end - start
+        file.seek(start)
+
+    def read(self, n: int) -> bytes:
+        data = self.file.read(min(n, self.left))
+        self.left -= len(data)
+        return data
+
+    def seek(self, n: int, whence: int) -> None:
+        self.file.seek(n, whence)
+        self.left = max(0, self.left - n)
+
+
 class Plain:
     """Reads a file ahead in blocks; what is stepped over beyond the block in hand is not read."""
 
@@ -144,28 +168,42 @@ class Members:
             n -= len(got)
 
 
-def read_records(file, compressed: bool, types: set[str] | None, ids: set[int] | None, payload: bool) -> Iterator[dict]:  # noqa: ANN001
-    """Rows of one archive. A record's block is read only if its header passes and its payload is wanted."""
+#: Columns that a header alone decides, by the way they are got from it.
+_HEADER = {
+    "page_id": lambda h: _page_of(h.get("warc-record-id")),
+    "uri": lambda h: h.get("warc-target-uri"),
+    "record_type": lambda h: h.get("warc-type"),
+    "refers_to": lambda h: _page_of(h.get("warc-refers-to")),
+    "digest": lambda h: h["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in h else None,
+    "record_id": lambda h: h.get("warc-record-id"),
+    "date": lambda h: h.get("warc-date"),
+    "content_type": lambda h: h.get("content-type"),
+}
+
+
+def read_records(file, compressed: bool, wanted: dict[str, set], payload: bool) -> Iterator[dict]:  # noqa: ANN001
+    """Rows of one archive, a row for each record whose columns are among `wanted`. A record's block is read only if its header passes
+    and its payload is wanted. The payload of an HTTP response is what follows its HTTP header, of a revisit null, of other records the block."""
     source = Plain(Members(file) if compressed else file)
     while (raw := source.until(b"\r\n\r\n")) is not None:
         h = parse_header(raw.lstrip(b"\r\n"))
-        size, kind, page = int(h["content-length"]), h.get("warc-type"), None
-        own = "urn:attesta:page:" in h.get("warc-record-id", "")
-        if own:
-            page = _page_of(h["warc-record-id"])
-        wanted = own and (types is None or kind in types) and (ids is None or page in ids)
+        size = int(h["content-length"])
+        row = {name: of(h) for name, of in _HEADER.items()}
+        if any(row[name] not in values for name, values in wanted.items()):
+            source.skip(size + 4)
+            continue
+        kind, http = row["record_type"], (row["content_type"] or "").replace(" ", "").lower().startswith("application/http")
+        stated = int(h["x-payload-bytes"]) if "x-payload-bytes" in h else None if kind == "revisit" or (kind == "response" and http) else size
         body = None
-        if wanted and payload and kind == "response":
-            block = source.take(size)
-            body = block[block.find(b"\r\n\r\n") + 4 :]
+        if payload and kind != "revisit":
+            body = source.take(size)
+            if kind == "response" and http:
+                at = body.find(b"\r\n\r\n")
+                body = body[at + 4 :] if at >= 0 else b""
             source.skip(4)
         else:
             source.skip(size + 4)
-        if wanted:
-            yield {
-                "page_id": page, "uri": h.get("warc-target-uri"), "record_type": kind, "refers_to": _page_of(h.get("warc-refers-to")),
-                "digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": int(h.get("x-payload-bytes", -1)), "payload": body,
-            }
+        yield row | {"payload": body, "payload_bytes": len(body) if stated is None and body is not None else stated}
 
 
 @dataclass
@@ -174,8 +212,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, compression: str, max_file_bytes: int):
-        self.path, self.gzip, self.max_file_bytes = path, compression == "gzip", max_file_bytes
+    def __init__(self, path: str, compression: str, max_file_bytes: int, index_bytes: int):
+        self.path, self.gzip, self.max_file_bytes, self.index_bytes = path, compression == "gzip", max_file_bytes, index_bytes
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -183,13 +221,16 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
         stem = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"  # attempts don't meet
-        files, out, size = [], None, 0
+        files, out, size, marks = [], None, 0, [0]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for row in batch.slice(at, 256).to_pylist():
                     if out is None:
                         name = f"pages-{stem}-{len(files):05d}.warc" + ".gz" * self.gzip
                         out, size = fs.open_output_stream(f"{root}/{name}", compression=None), 0
+                        marks = [0]
+                    elif size >= marks[-1] + self.index_bytes:
+                        marks.append(size)
                     data = encode_record(row)
                     if self.gzip:
                         z = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -198,11 +239,11 @@ class WarcWriter(DataSourceArrowWriter):
                     size += len(data)
                     if size >= self.max_file_bytes:
                         out.close()
-                        files.append((name, size))
+                        files.append((name, size, marks))
                         out = None
         if out is not None:
             out.close()
-            files.append((name, size))
+            files.append((name, size, marks))
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -214,37 +255,38 @@ class WarcWriter(DataSourceArrowWriter):
 
 @dataclass
 class Files(InputPartition):
-    names: list
+    parts: list  # (name, start, end)
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int, payload: bool):
-        self.path, self.split_bytes, self.payload, self.types, self.ids = path, split_bytes, payload, None, None
+        self.path, self.split_bytes, self.payload, self.wanted = path, split_bytes, payload, {}
 
     def partitions(self) -> list[Files]:
-        """Neighbouring files up to split_bytes together; the manifest names them, else the folder does."""
+        """Neighbouring stretches up to split_bytes together; the manifest names them, else the folder its files."""
         fs, root = _open(self.path)
         info = fs.get_file_info(f"{root}/manifest.json")
         if info.type == pa.fs.FileType.File:
             with fs.open_input_stream(info.path) as f:
                 files = json.loads(f.read())
         else:
-            files = sorted((i.base_name, i.size) for i in fs.get_file_info(pa.fs.FileSelector(root)) if i.base_name.endswith((".warc", ".warc.gz")))
+            files = sorted((i.base_name, i.size, [0]) for i in fs.get_file_info(pa.fs.FileSelector(root)) if i.base_name.endswith((".warc", ".warc.gz")))
         parts, size = [], 0
-        for name, n in files:
-            if not parts or size + n > self.split_bytes:
-                parts.append(Files([]))
-                size = 0
-            parts[-1].names.append(name)
-            size += n
+        for name, length, marks in files:
+            for start, end in zip(marks, [*marks[1:], length], strict=True):
+                if not parts or size + end - start > self.split_bytes:
+                    parts.append(Files([]))
+                    size = 0
+                parts[-1].parts.append((name, start, end))
+                size += end - start
         return parts
 
     def read(self, part: Files | None) -> Iterator[pa.RecordBatch]:
         fs, root = _open(self.path)
-        for name in part.names if part else []:  # None where there are no partitions
+        for name, start, end in part.parts if part else []:  # None where there are no partitions
             with fs.open_input_file(f"{root}/{name}") as f:
                 rows, size = [], 0
-                for r in read_records(f, name.endswith(".gz"), self.types, self.ids, self.payload):
+                for r in read_records(Stretch(f, start, end), name.endswith(".gz"), self.wanted, self.payload):
                     rows.append(r)
                     size += len(r["payload"] or b"")
                     if len(rows) >= 1000 or size > 8 << 20:
@@ -255,7 +297,7 @@ class WarcReader(DataSourceReader):
 
 
 class PushingReader(WarcReader):
-    """Takes conditions on record_type and page_id.
+    """Takes = and in conditions on columns that a header decides.
 
     Spark keeps the conditions last pushed into a relation, also for a later read of it that has none; so this reader serves
     only relations that are filtered as soon as they are made (read_warc with where)."""
@@ -263,16 +305,15 @@ class PushingReader(WarcReader):
     def pushFilters(self, filters: list) -> Iterator:
         for f in filters:
             values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is not None and f.attribute == ("record_type",):
-                self.types = values if self.types is None else self.types & values
-            elif values is not None and f.attribute == ("page_id",):
-                self.ids = values if self.ids is None else self.ids & values
+            if values is not None and len(f.attribute) == 1 and f.attribute[0] in _HEADER:
+                name = f.attribute[0]
+                self.wanted[name] = (self.wanted[name] & values if name in self.wanted else values) - {None}
             else:
                 yield f
 
 
 class Warc(DataSource):
-    """Format warc: path; compression (gzip or none) and max_file_bytes to write; split_bytes, payload and pushdown to read."""
+    """Format warc: path; compression (gzip or none), max_file_bytes and index_bytes to write; split_bytes, payload and pushdown to read."""
 
     @classmethod
     def name(cls) -> str:
@@ -282,7 +323,7 @@ class Warc(DataSource):
         return FIELDS
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:  # noqa: ANN001
-        return WarcWriter(self.options["path"], self.options.get("compression", "gzip"), int(self.options.get("max_file_bytes", 1 << 30)))
+        return WarcWriter(self.options["path"], self.options.get("compression", "gzip"), int(self.options.get("max_file_bytes", 1 << 30)), int(self.options.get("index_bytes", 32 << 20)))
 
     def reader(self, schema) -> WarcReader:  # noqa: ANN001
         kind = PushingReader if self.options.get("pushdown", "false").lower() == "true" else WarcReader
@@ -316,7 +357,10 @@ def write_warc(pages: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def read_warc(spark: SparkSession, path: str, where: str | None = None, payload: bool = True) -> DataFrame:
-    """Records of the archives in a folder. Of `where`, conditions on record_type and page_id (=, in) reach the reader."""
+    """Records of the archives in a folder, of this writer or others: page_id, uri, record_type, refers_to, digest, payload_bytes, payload,
+    record_id, date, content_type. page_id and refers_to are null for records of others, payload_bytes is null where only the payload could tell and it is not read.
+    Of `where`, = and in conditions on columns of the header reach the reader (the session's option for that is set). A file that ends
+    inside a record fails the read; an empty file or folder has no records."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Warc)
     rows = spark.read.format("warc").option("payload", str(payload)).option("pushdown", str(where is not None)).load(path)
