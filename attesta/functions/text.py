@@ -78,7 +78,14 @@ def plural_slavic(n: Column, one: str, few: str, many: str) -> Column:
     return F.when((ten == 1) & (hundred != 11), one).when(ten.between(2, 4) & ~hundred.between(12, 14), few).otherwise(many)
 
 
-# ---------------------------------------------------------------- Unicode: Arrow functions
+# ---------------------------------------------------------------- Unicode: expressions for ASCII, Arrow functions for the rest
+_UNITS = (
+    r"(?:°\s*[cf]|[кk]?[вw]т|[вv]|гц|hz|mah|ач|ah|мл|ml|л|l|кг|kg|гр?|g|мм|mm|см|cm|м|m|мин|сек|ч|шт|pcs?|дб|db|"
+    r"(?:[швгдт]\s*[xх×]\s*){2}[швгдт]|(?:[hwdlt]\s*[xх×]\s*){2}[hwdlt])"
+)  # fixed values: units that a label may end with
+_UNIT_ENDS = (rf"\s*[(\[]\s*{_UNITS}\s*[)\]]\s*$", rf"\s*[,;:]\s*{_UNITS}\s*$", rf"\s+{_UNITS}\s*$")
+
+
 def _fold(text: str) -> str:
     parts = unicodedata.normalize("NFKD", text.casefold())
     return "".join(c for c in parts if not unicodedata.combining(c))
@@ -101,36 +108,78 @@ def _mojibake(text: str) -> str:
     return _MISREAD.sub(repaired, text)
 
 
-def _clean(text: str) -> str:
+# Characters that stand for a plain one, or for none.
+_PLAIN = {
+    " ": "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000",
+    "": "\u200b\u200c\u200d\u2060\ufeff\u00ad",
+    "'": "‘’‚′ʼ",
+    '"': "“”„″",
+    "-": "‐‑‒–—―−",
+}
+_TO_PLAIN = {ord(c): new for new, old in _PLAIN.items() for c in old}
+
+
+def hygiene(text: str) -> str:
+    """Escapes and entities undone (twice), misread UTF-8 repaired, full-width and composed forms plain, one kind of space, quote and dash."""
     text = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
     text = _mojibake(html.unescape(html.unescape(text)))
     text = "".join(unicodedata.normalize("NFKC", c) if "\uff01" <= c <= "\uff5e" else c for c in text)
-    text = unicodedata.normalize("NFC", text)
-    for new, old in ((" ", "\u00a0\u2007\u202f\u2009"), ('"', "“”„«»"), ("'", "‘’‚"), ("-", "‐‑−")):
-        text = text.translate(dict.fromkeys(map(ord, old), new))
-    return re.sub(r"\s+", " ", text).strip()
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text).translate(_TO_PLAIN)).strip()
 
 
 def _label_key(text: str) -> str:
-    """Comparable label: folded case and accents, ё as е, unit suffixes off, word tokens only."""
+    """Comparable label: folded case and compatibility forms, ё as е, unit suffixes off, word tokens only."""
     text = unicodedata.normalize("NFKC", text).casefold().replace("ё", "е")
     for _ in range(4):
-        cut = re.sub(r"[\s,]*[(\[][^()\[\]]{1,12}[)\]]\s*$", "", text)
+        cut = text
+        for end in _UNIT_ENDS:
+            cut = re.sub(end, "", cut)
         if cut == text:
             break
         text = cut
     return " ".join(re.findall(r"\w+", text))
 
 
-def _lifted(f):  # noqa: ANN001, ANN202
+def _compact(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+
+
+def fold_words(text: str) -> str:
+    """Case, accents and punctuation folded: words with single spaces."""
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]|_", " ", _fold(text).replace("'", ""))).strip()
+
+
+def _lifted(f, plain, beyond):  # noqa: ANN001, ANN202
+    """f where a text matches `beyond`, the expression plain elsewhere: those texts reach Python as nulls."""
+
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
+        return pd.Series([f(x) if isinstance(x, str) else None for x in s], index=s.index, dtype=object)
+
+    return lambda c: F.when(c.rlike(beyond), run(F.when(c.rlike(beyond), c))).otherwise(plain(c))
 
-    return run
+
+def _key_ascii(c: Column) -> Column:
+    """Up to four unit ends off, as few labels have more than one."""
+    c = F.lower(c)
+    for _ in range(4):
+        for end in _UNIT_ENDS:
+            c = F.regexp_replace(c, end, "")
+    return F.array_join(F.regexp_extract_all(c, F.lit(r"(\w+)"), 1), " ")
 
 
-fold = _lifted(_fold)
-clean_text = _lifted(_clean)
-label_key = _lifted(_label_key)
-identity_key = _lifted(lambda x: "".join(c for c in unicodedata.normalize("NFKC", x).casefold() if c.isalnum()))
+_NOT_ASCII = r"[^\x00-\x7F]"
+fold = _lifted(_fold, F.lower, _NOT_ASCII)
+clean_text = _lifted(hygiene, lambda c: F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f]+", " ")), r"[^\x00-\x7F]|&|\\u")
+label_key = _lifted(_label_key, _key_ascii, _NOT_ASCII)
+identity_key = _lifted(_compact, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), _NOT_ASCII)
+fold_label = _lifted(fold_words, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "'", ""), r"[^a-z0-9]+", " ")), _NOT_ASCII)
+
+
+def fold_key(c: Column) -> Column:
+    """label_key by expressions alone, for text without compatibility forms; use label_key where they may occur."""
+    c = F.regexp_replace(F.lower(c), "ё", "е")
+    for _ in range(4):
+        for end in _UNIT_ENDS:
+            c = F.regexp_replace(c, end, "")
+    return F.array_join(F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), 1), " ")

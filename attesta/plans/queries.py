@@ -520,3 +520,6 @@ def schema_override_union(spark, d):  # noqa: ANN001, ANN201
 @query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, trim(regexp_replace(regexp_replace(p_type || 'Of' || p_brand, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-. ]+', ' ', 'g')) AS words FROM part""")
 def slug_and_words(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.identifier_words(F.concat("p_type", F.lit("Of"), "p_brand")).alias("words"))
+
+
+from . import specs  # noqa: E402, F401  (registers its queries)
