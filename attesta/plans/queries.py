@@ -522,4 +522,4 @@ def slug_and_words(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.identifier_words(F.concat("p_type", F.lit("Of"), "p_brand")).alias("words"))
 
 
-from . import specs  # noqa: E402, F401  (registers its queries)
+from . import normal, specs  # noqa: E402, F401  (they register their queries)
