@@ -30,9 +30,12 @@ FAMILIES = {
     "pressure": ("bar", {"bar": "1", "kPa": "0.01", "Pa": "0.00001", "MPa": "10"}),
     "torque": ("Nm", {"Nm": "1"}),
     "sound": ("dB(A)", {"dB(A)": "1"}),
+    "temperature": ("°C", {"°C": "1", "°F": "5/9"}),  # °F has another zero too
     "resolution": ("DPI", {"DPI": "1"}),
     "duration_months": ("month", {"month": "1", "year": "12"}),
-    "duration_h": ("h", {"h": "1", "d": "24"}),
+    "duration_years": ("year", {"year": "1", "month": "1/12"}),
+    "duration_h": ("h", {"h": "1", "min": "1/60", "d": "24"}),
+    "distance": ("m", {"m": "1", "cm": "0.01", "mm": "0.001", "ft": "0.3048", "in": "0.0254"}),
 }
 FACTOR = "decimal(22,12)"
 
@@ -63,8 +66,13 @@ def _lookup(table: dict[str, str], unit: Column) -> Column:
 
 
 def to_base(family: str, unit: Column, value: Column) -> Column:
-    """Exact decimal in the family's base unit; null for a unit of another family."""
-    return value.cast("decimal(15,6)") * _lookup(FAMILIES[family][1], unit)
+    """Decimal in the family's base unit, exact unless a factor is no decimal fraction; null for a unit of another family."""
+    parts = {u: f.partition("/") for u, f in FAMILIES[family][1].items()}
+    above, below = _lookup({u: a for u, (a, _, _) in parts.items()}, unit), {u: b for u, (_, _, b) in parts.items() if b}
+    if family == "temperature":
+        value = F.when(unit == "°F", value.cast("decimal(15,6)") - 32).otherwise(value.cast("decimal(15,6)"))
+    scaled = value.cast("decimal(15,6)") * above
+    return F.when(unit.isin(*below), scaled / F.coalesce(_lookup(below, unit), F.lit(1))).otherwise(scaled) if below else scaled
 
 
 def celsius(unit: Column, value: Column) -> Column:
