@@ -99,29 +99,48 @@ def boolean_of(c: Column) -> Column:
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
-def comparison_value(value: Column, unit: Column, family: Column) -> Column:
-    """struct(kind, amount, text) that values are compared by; the stored value stays as it is."""
-    amount = number(value)
-    grams, mm = amount * _lookup(TO_GRAM, unit), amount * _lookup(TO_MM, unit)
-    text = F.array_join(F.regexp_extract_all(F.lower(value), F.lit("([\\p{L}\\p{N}_]+)"), 1), " ")
+AMOUNT = "decimal(38,12)"
+
 
-    def row(kind: Column, x: Column, t: Column) -> Column:
-        return F.struct(kind.alias("kind"), x.cast("decimal(38,12)").alias("amount"), t.alias("text"))
+def comparison_text(c: Column) -> Column:
+    """Word tokens in lower case."""
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([\\p{L}\\p{N}_]+)"), 1), " ")
 
-    none = F.lit(None)
+
+def comparison_value(value: Column, unit: Column, family: Column) -> Column:
+    """struct(kind, amounts, text) that values are compared by; the stored value stays as it is.
+
+    family says what the attribute holds: boolean, mass, length or anything else. A unit may be in the value (1 kg) or beside it; several
+    numbers (10 x 20 x 30) are several amounts."""
+    text, own = F.trim(F.coalesce(value, F.lit(""))), F.lower(F.trim(F.coalesce(unit, F.lit(""))))
+    embedded = F.lower(F.regexp_extract(text, "(?i)^(.+?)\\s*(mg|kg|g|lb|oz|mm|cm|m|in)$", 2))
+    named = F.when(own != "", own).otherwise(embedded)
+    tokens = F.regexp_extract_all(text, F.lit("([-+]?\\d+(?:[.,]\\d+)?)"), 1)
+    amounts = F.transform(tokens, lambda t: F.regexp_replace(t, ",", ".").try_cast("decimal(18,6)"))
+    word = comparison_text(value)
+    grams, mm = _lookup(TO_GRAM, named), _lookup(TO_MM, named)
+
+    def row(kind: Column | str, x: Column | None, t: Column | None) -> Column:
+        none = F.lit(None)
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (none if x is None else x).cast(f"array<{AMOUNT}>").alias("amounts"), (none if t is None else t).cast("string").alias("text"))
+
+    scaled = lambda f: F.transform(amounts, lambda a: a * f)
     return (
-        F.when((family == "mass") & grams.isNotNull(), row(F.lit("mass_g"), grams, none.cast("string")))
-        .when((family == "length") & mm.isNotNull(), row(F.lit("length_mm"), mm, none.cast("string")))
-        .when(amount.isNotNull() & (F.coalesce(unit, F.lit("")) != ""), row(F.concat(F.lit("numeric:"), unit), amount, none.cast("string")))
-        .otherwise(row(F.lit("text"), none, text))
+        F.when((family == "boolean") & word.isin(*TRUE_WORDS), row("boolean", None, F.lit("true")))
+        .when((family == "boolean") & word.isin(*FALSE_WORDS), row("boolean", None, F.lit("false")))
+        .when(family == "boolean", row("text", None, word))
+        .when((family == "mass") & grams.isNotNull() & (F.size(amounts) == 1), row("mass_g", scaled(grams), None))
+        .when((family == "length") & mm.isNotNull() & (F.size(amounts) > 0), row("length_mm", scaled(mm), None))
+        .when((F.size(amounts) > 0) & (named != ""), row(F.concat(F.lit("numeric:"), named), amounts, None))
+        .otherwise(row("text", None, word))
     )
 
 
 def equivalent(a: Column, b: Column) -> Column:
-    """Equal kinds, and equal texts or amounts within the tolerance of the kind."""
-    allowed = F.create_map(*chain.from_iterable((F.lit(k), F.lit(Decimal(v)).cast("decimal(38,12)")) for k, v in TOLERANCE.items()))[a["kind"]]
-    near = F.abs(a["amount"] - b["amount"]) <= F.coalesce(allowed, F.lit(Decimal(0)).cast("decimal(38,12)"))
-    return (a["kind"] == b["kind"]) & F.when(a["kind"] == "text", a["text"] == b["text"]).otherwise(near)
+    """Equal kinds, and equal texts or as many amounts, each within the tolerance of the kind."""
+    allowed = F.coalesce(F.create_map(*chain.from_iterable((F.lit(k), F.lit(Decimal(v)).cast(AMOUNT)) for k, v in TOLERANCE.items()))[a["kind"]], F.lit(Decimal(0)).cast(AMOUNT))
+    near = (F.size(a["amounts"]) == F.size(b["amounts"])) & F.forall(F.arrays_zip(a["amounts"].alias("l"), b["amounts"].alias("r")), lambda p: F.abs(p["l"] - p["r"]) <= allowed)
+    return (a["kind"] == b["kind"]) & F.when(a["text"].isNotNull(), F.coalesce(a["text"] == b["text"], F.lit(False))).otherwise(near)
 
 
 # ---------------------------------------------------------------- figures of audits

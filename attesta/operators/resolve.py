@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.measure import comparison_value, equivalent
+from ..functions.measure import comparison_text, comparison_value, equivalent
 from ..functions.text import blank, concrete
+from ..functions.url import canonical_url
 
 # Ranks of identities.
 IDENTITY_RANK = {"exact_variant": 4, "same_base_model": 3, "probable_same_base_model": 2, "unknown": 1, "different_model": 0}
@@ -42,63 +43,184 @@ def strong(rank: Column, confidence: Column) -> Column:
 
 def compatible(identity: Column, variant_sensitive: Column, model_wide: Column) -> Column:
     exact = identity == "exact_variant"
-    base = identity.isin("same_base_model", "probable_same_base_model")
+    base = identity == "same_base_model"
     return F.when(variant_sensitive, exact | ((identity == "same_base_model") & model_wide)).otherwise(exact | base)
 
 
-def first_of_each(claims: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """The first row by seq of each key; the others go."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    return claims.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def _heads(values: Column) -> Column:
+    """The first value of each group of values (an array of structs with cmp, in order): a value joins the first group whose first value it equals."""
+    first = lambda x: F.struct(x["cmp"].alias("cmp"))
+    empty = F.transform(F.slice(values, 1, 0), first)
+    return F.aggregate(values, empty, lambda acc, x: F.when(F.exists(acc, lambda h: equivalent(h["cmp"], x["cmp"])), acc).otherwise(F.concat(acc, F.array(first(x)))))
 
 
-def greedy_groups(claims: DataFrame, keys: list[str], family: str | None = None) -> DataFrame:
-    """Order-dependent groups within tolerance: a claim joins the first group whose first value it equals, else opens one.
-
-    Not a transitive closure. A row for each claim, with `group` (from 0). The fold runs within one key, whose claims are few."""
-    keyed = claims.withColumn("_cmp", comparison_value(F.col("value"), F.coalesce("unit", F.lit("")), F.lit(family) if family else F.lit("")))
-    lists = keyed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "_cmp"))).alias("_rows"))
-    heads = F.aggregate(
-        "_rows", F.array().cast(lists.select(F.col("_rows")[0]["_cmp"].alias("c")).schema["c"].dataType.simpleString().join(["array<", ">"])),
-        lambda acc, r: F.when(F.exists(acc, lambda g: equivalent(g, r["_cmp"])), acc).otherwise(F.concat(acc, F.array(r["_cmp"]))),
-    )
-    placed = lists.withColumn("_heads", heads).select(*keys, "_heads", F.explode("_rows").alias("_r"))
-    number = F.array_position(F.transform("_heads", lambda g: equivalent(g, F.col("_r._cmp"))), True) - 1
-    return placed.select(*keys, F.col("_r.seq").alias("seq"), number.cast("int").alias("group"))
-
+def _group_of(heads: Column, cmp: Column) -> Column:
+    """Place (from 1) of the first group that takes a value."""
+    return F.array_position(F.transform(heads, lambda h: equivalent(h["cmp"], cmp)), True)
 
-def resolve(claims: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """entity, attribute, status, value, confidence, reason, n_support, n_conflict, n_sources.
 
-    Claims of other models and failed sources don't count. Of the strong claims those of the highest rank decide: one
-    value confirms, several conflict, none leaves the attribute unresolved. Values are equal if their text is. Every
-    expected (entity, attribute) has a row, also without claims.
+def greedy_groups(claims: DataFrame, keys: list[str], family: str | None = None) -> DataFrame:
+    """Order-dependent groups within tolerance: a claim (seq, value, unit) joins the first group whose first value it equals, else opens one.
+
+    Not a transitive closure. A row keys, seq, group (from 0) for each claim. Equal values always join the group of their first, so a
+    key's claims are cut to its different values, each with its first seq, before these are folded in one row; claims then look theirs up."""
+    keyed = claims.withColumn("_cmp", comparison_value(F.col("value"), F.coalesce("unit", F.lit("")), F.lit(family or "")))
+    distinct = keyed.groupBy(*keys, "_cmp").agg(F.min("seq").alias("first"))
+    lists = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("first"), F.col("_cmp").alias("cmp")))).alias("all"))
+    lists = lists.withColumn("heads", _heads(F.col("all")))
+    placed = lists.select(*keys, "heads", F.explode("all").alias("v")).select(*keys, F.col("v.cmp").alias("_cmp"), (_group_of(F.col("heads"), F.col("v.cmp")) - 1).cast("int").alias("group"))
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"g.{k}")) for k in (*keys, "_cmp")]
+    return keyed.select(*keys, "seq", "_cmp").alias("c").join(placed.alias("g"), on).select(*[F.col(f"c.{k}") for k in keys], "c.seq", "g.group")
+
+
+def with_source_metadata(claims: DataFrame, sources: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """claims (source_url) with status, source_type, authority, identity of their source.
+
+    sources and candidates: seq, source_url, final_url, status, source_type, authority, identity. A claim takes the first source whose URL is its own, else
+    the first whose canonical URL is, by either of its URLs, else the first candidate; without any, its status is success and the rest unknown."""
+    facts = ["status", "source_type", "authority", "identity"]
+
+    def first(rows: DataFrame, key: Column, name: str) -> DataFrame:
+        g = rows.select("seq", key.alias("key"), F.struct(*facts).alias("m")).filter("key <> ''").groupBy("key").agg(F.min_by("m", "seq").alias(name))
+        return g.withColumnRenamed("key", f"key_{name}")
+
+    url = lambda c: canonical_url(F.coalesce(F.col(c), F.lit("")))
+    out, found = claims.withColumn("_canonical", url("source_url")), [("direct", first(sources, F.col("source_url"), "direct"), "source_url")]
+    both = sources.select("seq", *facts, F.explode(F.array(url("source_url"), url("final_url"))).alias("key"))
+    found.append(("like", first(both, F.col("key"), "like"), "_canonical"))
+    if candidates is not None:
+        found.append(("candidate", first(candidates, url("source_url"), "candidate"), "_canonical"))
+    for name, table, key in found:
+        out = out.join(table, out[key] == table[f"key_{name}"], "left").drop(f"key_{name}")
+    m = F.coalesce(*[F.col(name) for name, _, _ in found])
+    default = {"status": "success", "source_type": "unknown", "authority": "unknown", "identity": "unknown"}
+    return out.select(*claims.columns, *[F.coalesce(m[f], F.lit(default[f])).alias(f) for f in facts])
+
+
+def first_claims(claims: DataFrame) -> DataFrame:
+    """Of claims that say the same (entity, attribute, canonical source, words of value, unit and raw value, evidence) the first by seq."""
+    key = [
+        F.col("entity"), F.col("attribute"), F.coalesce(F.nullif(canonical_url(F.coalesce("source_url", F.lit(""))), F.lit("")), F.col("source_url")).alias("_url"),
+        F.concat_ws("|", comparison_text(F.col("value")), comparison_text(F.col("unit")), comparison_text(F.col("raw_value"))).alias("_said"), F.col("evidence"),
+    ]
+    rest = [c for c in claims.columns if c not in ("entity", "attribute", "evidence")]
+    return claims.groupBy(*key).agg(F.min_by(F.struct(*rest), "seq").alias("_r")).select("entity", "attribute", "evidence", "_r.*").select(*claims.columns)
+
+
+_OPTIONAL = {"unit": "string", "raw_value": "string", "evidence": "string", "family": "string", "variant_sensitive": "boolean", "model_wide": "boolean"}
+
+
+def judged_claims(claims: DataFrame) -> DataFrame:
+    """claims, the first of equal ones, with rank, usable, valid, fits, eligible, strong, cmp and order (of facts, the best first)."""
+    for name, kind in _OPTIONAL.items():
+        if name not in claims.columns:
+            claims = claims.withColumn(name, F.col("source_url") if name == "evidence" else F.lit(None).cast(kind))
+    rows = first_claims(claims).withColumn("rank", authority_rank(F.col("source_type"), F.coalesce("authority", F.lit(""))))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = rows.withColumn("usable", (F.coalesce("identity", F.lit("unknown")) != "different_model") & (F.coalesce("status", F.lit("")) == "success"))
+    rows = rows.withColumn("valid", F.col("usable") & F.coalesce(concrete(F.col("value")), F.lit(False)) & ~blank(F.col("source_url")) & ~blank(F.col("evidence")))
+    rows = rows.withColumn("fits", F.coalesce(compatible(F.col("identity"), yes("variant_sensitive"), yes("model_wide")), F.lit(False)))
+    rows = rows.withColumn("eligible", F.col("valid") & F.col("fits")).withColumn("strong", F.col("eligible") & F.coalesce(strong(F.col("rank"), F.col("confidence")), F.lit(False)))
+    source = F.coalesce(F.nullif(canonical_url(F.coalesce("source_url", F.lit(""))), F.lit("")), F.col("source_url"))
+    order = F.struct((-F.col("rank")).alias("rank"), (-F.coalesce(identity_rank(F.col("identity")), F.lit(0))).alias("identity"), source.alias("source"), comparison_text(F.col("value")).alias("text"), F.col("seq").alias("seq"))
+    return rows.withColumn("cmp", comparison_value(F.col("value"), F.coalesce("unit", F.lit("")), F.coalesce("family", F.lit("")))).withColumn("order", order)
+
+
+def resolve(claims: DataFrame, expected: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
+    """entity, attribute, status, value, source, confidence, reason, n_support, n_conflict.
+
+    Claims (entity, attribute, seq, value, source_url, source_type, authority, confidence, identity, status; unit, raw_value, evidence, family,
+    variant_sensitive and model_wide if there are such) that say the same count once. Those of other models, of failed sources, without a
+    concrete value, source or evidence, or of an identity that does not fit are not eligible; a null identity is an unknown one. Strong ones are
+    grouped in the order of seq, within tolerance of each group's first value; the groups of the highest rank decide: one confirms, several
+    conflict, none leaves the attribute unresolved. Support and conflict are counted among eligible claims; the value is that of the first
+    supporting claim by rank, identity, source and text. Every expected (entity, attribute) has a row, also without claims. hints (entity,
+    attribute, reason) tell reasons to prefer for what is unresolved. Only the different values of an attribute are brought together in a row.
     """
-    eligible = claims.filter((F.col("identity") != "different_model") & (F.col("status") == "success"))
-    ranked = eligible.withColumn("rank", authority_rank(F.col("source_type"), F.col("authority")))
-    ranked = ranked.withColumn("strong", strong(F.col("rank"), F.col("confidence")) & concrete(F.col("value")) & ~blank(F.col("source_url")) & compatible(F.col("identity"), F.coalesce("variant_sensitive", F.lit(False)), F.coalesce("model_wide", F.lit(False))))
-    key = ["entity", "attribute"]
-    # Values first: one row for each value, so a claim repeated by very many sources is folded before it is grouped.
-    values = ranked.groupBy(*key, "value").agg(
-        F.count("*").alias("n"), F.max(F.when(F.col("strong"), F.col("rank"))).alias("top"),
-        F.countDistinct(F.when(F.col("strong"), F.col("source_url"))).alias("sources"),
+    key, rows = ["entity", "attribute"], judged_claims(claims)
+    fact = F.struct("order", "value", "source_url")
+    values = rows.groupBy(*key, "cmp").agg(
+        F.min(F.when(F.col("strong"), F.col("seq"))).alias("strong_first"), F.max(F.when(F.col("strong"), F.col("rank"))).alias("top"), F.min(F.when(F.col("strong"), F.col("order"))).alias("strong_order"),
+        F.min(F.when(F.col("eligible"), F.col("seq"))).alias("first"), F.count_if(F.col("eligible")).alias("n"), F.min(F.when(F.col("eligible"), fact)).alias("best"),
+        F.min(F.when(F.col("eligible"), F.col("order.source"))).alias("low"), F.max(F.when(F.col("eligible"), F.col("order.source"))).alias("high"),
+        F.max("valid").alias("valid"), F.max("usable").alias("usable"),
+    )
+    value = F.struct("first", "cmp", "n", "best", "low", "high")
+    firm = F.struct(F.col("strong_first").alias("first"), F.col("cmp"), F.col("top"), F.col("strong_order").alias("order"))
+    per = values.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("strong_first").isNotNull(), firm))).alias("strong"), F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), value))).alias("all"),
+        F.max("valid").alias("valid"), F.max("usable").alias("usable"),
+    )
+    per = per.withColumn("heads", _heads(F.col("strong"))).withColumn("all_heads", _heads(F.col("all")))
+    members = lambda h, of: F.filter("strong", lambda v: F.get(F.col("heads"), (_group_of(F.col("heads"), v["cmp"]) - 1).cast("int"))["cmp"] == h["cmp"])  # noqa: E731, ARG005
+    groups = F.transform("heads", lambda h: F.struct(F.array_max(F.transform(members(h, None), lambda v: v["top"])).alias("top"), F.array_min(F.transform(members(h, None), lambda v: v["order"])).alias("order"), h["cmp"].alias("cmp")))
+    per = per.withColumn("groups", groups).withColumn("best_rank", F.array_max(F.transform("groups", lambda g: g["top"])))
+    per = per.withColumn("tops", F.array_sort(F.transform(F.filter("groups", lambda g: g["top"] == F.col("best_rank")), lambda g: F.struct(g["order"], g["cmp"]))))
+    per = per.withColumn("winner", F.get("tops", 0)["cmp"])
+    backs = lambda v: equivalent(F.get(F.col("all_heads"), (_group_of(F.col("all_heads"), v["cmp"]) - 1).cast("int"))["cmp"], F.col("winner"))
+    per = per.withColumn("support", F.when(F.size("tops") > 0, F.filter("all", backs)).otherwise(F.col("all")))
+    count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v["n"])
+    n_support, n_all = count("support"), count("all")
+    one, none = F.size("tops") == 1, F.size("tops") == 0
+    first = F.array_min(F.transform("support", lambda v: v["best"]))
+    several = F.array_min(F.transform("support", lambda v: v["low"])) != F.array_max(F.transform("support", lambda v: v["high"]))
+    status = F.when(none, "Unresolved").when(one, "Confirmed").otherwise("Conflict")
+    lacking = F.when(F.size("all") > 0, "insufficient_source_quality").when(F.col("valid"), "insufficient_identity").when(F.col("usable"), "missing_provenance").otherwise("no_valid_evidence")
+    reason = (
+        F.when(none, lacking).when(~one, "conflicting_equal_authority").when(n_all > n_support, "higher_authority_source").when(several, "equivalent_multi_source_evidence")
+        .when(F.col("best_rank") == 4, "official_exact_model_explicit").otherwise("specialized_exact_model_explicit")
     )
-    per = values.groupBy(*key).agg(F.max("top").alias("best"), F.sum("n").alias("n"), F.collect_list(F.struct("top", "value", "n", "sources")).alias("values"))
-    tops = F.filter("values", lambda v: v["top"] == F.col("best"))
-    one = F.size(tops) == 1
-    status = F.when(F.col("best").isNull(), "Unresolved").when(one, "Confirmed").otherwise("Conflict")
-    win = F.when(one & F.col("best").isNotNull(), tops[0])
     out = per.select(
-        *key, status.alias("status"), win["value"].alias("value"),
-        F.when(one & (F.col("best") == 4), "high").when(one & F.col("best").isNotNull(), "medium").otherwise("low").alias("confidence"),
-        F.when(F.col("best").isNull(), "no_strong_evidence").when(~one, "conflicting_sources").when(F.col("n") > win["n"], "higher_authority_source").when(win["sources"] > 1, "equivalent_multi_source_evidence")
-        .when(F.col("best") == 4, "verified_authority").otherwise("specialized_reference").alias("reason"),
-        F.when(win.isNotNull(), win["n"]).otherwise(0).cast("long").alias("n_support"), (F.col("n") - F.when(win.isNotNull(), win["n"]).otherwise(0)).cast("long").alias("n_conflict"),
+        *key, status.alias("status"), F.when(one | none, first["value"]).alias("value"), F.when(one | none, first["source_url"]).alias("source"),
+        F.when(one & (F.col("best_rank") == 4), "high").when(one, "medium").otherwise("low").alias("confidence"), reason.alias("reason"), n_support.alias("n_support"), (n_all - n_support).alias("n_conflict"),
+    )
+    if expected is not None:
+        out = expected.select(*key).distinct().join(out, key, "full")
+    if hints is not None:
+        out = out.join(hints.groupBy(*key).agg(F.min("reason").alias("hint")), key, "left")
+    told = F.when(F.coalesce("status", F.lit("Unresolved")) == "Unresolved", F.col("hint")) if hints is not None else F.lit(None).cast("string")
+    return out.select(
+        *key, F.coalesce("status", F.lit("Unresolved")).alias("status"), "value", "source", F.coalesce("confidence", F.lit("low")).alias("confidence"),
+        F.coalesce(told, F.col("reason"), F.lit("no_valid_evidence")).alias("reason"), F.coalesce("n_support", F.lit(0)).alias("n_support"), F.coalesce("n_conflict", F.lit(0)).alias("n_conflict"),
+    )
+
+
+def claim_diagnostics(claims: DataFrame) -> DataFrame:
+    """entity, attribute, code, n: why claims of an attribute were not eligible."""
+    rows = judged_claims(claims)
+    code = (
+        F.when(F.coalesce("identity", F.lit("")) == "different_model", "rejected_wrong_model").when(F.coalesce("status", F.lit("")) != "success", "rejected_source_state")
+        .when(~F.col("valid"), "rejected_missing_provenance").when(~F.col("fits"), "rejected_insufficient_identity")
     )
-    if expected is None:
-        return out
-    full = expected.select(*key).distinct().join(out, key, "full")
-    return full.select(*key, F.coalesce("status", F.lit("Unresolved")).alias("status"), "value", F.coalesce("confidence", F.lit("low")).alias("confidence"), F.coalesce("reason", F.lit("no_evidence")).alias("reason"), F.coalesce("n_support", F.lit(0)).alias("n_support"), F.coalesce("n_conflict", F.lit(0)).alias("n_conflict"))
+    return rows.withColumn("code", code).filter("code is not null").groupBy("entity", "attribute", "code").agg(F.count("*").alias("n"))
+
+
+def final_profile(resolved: DataFrame, schema: DataFrame) -> DataFrame:
+    """resolved with the schema's (attribute, place, expected, label) and its place in the profile: expected attributes in the order of the schema, others by name."""
+    d = schema.groupBy("attribute").agg(F.min("place").alias("place"), F.max("expected").alias("expected"), F.min_by("label", "place").alias("label"))
+    j = resolved.join(F.broadcast(d), "attribute", "left").withColumn("expected", F.coalesce("expected", F.lit(False)))
+    order = Window.partitionBy("entity").orderBy(F.desc("expected"), F.coalesce("place", F.lit(1 << 30)), "attribute")
+    return j.withColumn("row", F.row_number().over(order))
+
+
+def profile_violations(profile: DataFrame) -> DataFrame:
+    """entity, attribute, violation of a profile (entity, attribute, status, value, confidence, expected, n_support): no rows if it is sound."""
+    profile = profile.withColumn("_n", F.count("*").over(Window.partitionBy("entity", "attribute")))
+    checks = {
+        "repeated attribute": F.col("_n") > 1,
+        "unknown status": ~F.coalesce(F.col("status").isin("Confirmed", "Conflict", "Unresolved"), F.lit(False)),
+        "confirmed without value": (F.col("status") == "Confirmed") & blank(F.col("value")),
+        "confirmed without support": (F.col("status") == "Confirmed") & (F.coalesce("n_support", F.lit(0)) == 0),
+        "conflict with a value": (F.col("status") == "Conflict") & F.col("value").isNotNull(),
+        "confidence of what is not confirmed": (F.col("status") != "Confirmed") & (F.col("confidence") != "low"),
+    }
+    found = F.array_compact(F.array(*[F.when(c, name) for name, c in checks.items()]))
+    return profile.select("entity", "attribute", F.explode(found).alias("violation")).distinct()
+
+
+def missing_expected(profile: DataFrame, expected: DataFrame) -> DataFrame:
+    """The expected (entity, attribute) that a profile has no row for."""
+    return expected.select("entity", "attribute").distinct().join(profile, ["entity", "attribute"], "left_anti")
 
 
 def quality_status(profile: DataFrame) -> DataFrame:

@@ -276,14 +276,16 @@ def _claims(spark, d):  # noqa: ANN001, ANN202
     )
 
 
-RESOLVE_SQL = """WITH c AS (SELECT l_partkey AS entity, 'tax_' || l_linenumber AS attribute, CASE WHEN l_tax < 0.04 THEN 'low' ELSE 'high' END AS value, l_suppkey, CASE WHEN s_acctbal > 8000 THEN 4 WHEN s_acctbal > 5000 THEN 3 END AS top
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag <> 'R'),
-v AS (SELECT entity, attribute, value, max(top) AS top, count(*) AS n, count(DISTINCT CASE WHEN top IS NOT NULL THEN l_suppkey END) AS sources FROM c GROUP BY ALL),
-g AS (SELECT entity, attribute, max(top) AS best, sum(n) AS n FROM v GROUP BY ALL),
-w AS (SELECT g.entity, g.attribute, g.best, g.n, count(v.value) AS ties, min(v.value) AS value, min(v.n) AS support, min(v.sources) AS sources FROM g LEFT JOIN v ON v.entity = g.entity AND v.attribute = g.attribute AND v.top = g.best GROUP BY ALL),
-r AS (SELECT entity, attribute, CASE WHEN best IS NULL THEN 'Unresolved' WHEN ties = 1 THEN 'Confirmed' ELSE 'Conflict' END AS status, CASE WHEN ties = 1 THEN value END AS value, CASE WHEN ties = 1 AND best = 4 THEN 'high' WHEN ties = 1 THEN 'medium' ELSE 'low' END AS confidence,
-    CASE WHEN best IS NULL THEN 'no_strong_evidence' WHEN ties > 1 THEN 'conflicting_sources' WHEN n > support THEN 'higher_authority_source' WHEN sources > 1 THEN 'equivalent_multi_source_evidence' WHEN best = 4 THEN 'verified_authority' ELSE 'specialized_reference' END AS reason,
-    CASE WHEN ties = 1 THEN support ELSE 0 END::BIGINT AS n_support, (n - CASE WHEN ties = 1 THEN support ELSE 0 END)::BIGINT AS n_conflict FROM w)"""
+RESOLVE_SQL = """WITH c AS (SELECT l_partkey AS entity, 'tax_' || l_linenumber AS attribute, CASE WHEN l_tax < 0.04 THEN 'low' ELSE 'high' END AS value, 's' || l_suppkey AS src, l_orderkey * 10 + l_linenumber AS seq, l_returnflag = 'R' AS wrong,
+    CASE WHEN s_acctbal > 8000 THEN 4 WHEN s_acctbal > 5000 THEN 3 WHEN s_acctbal > 0 THEN 2 ELSE 1 END AS rank FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+a AS (SELECT DISTINCT entity, attribute FROM c), d AS (SELECT entity, attribute, value, src, min(rank) AS rank, arg_min(wrong, seq) AS wrong FROM c GROUP BY ALL),
+v AS (SELECT entity, attribute, value, max(CASE WHEN rank >= 3 THEN rank END) AS top, count(*) AS n, count(DISTINCT src) AS sources, min({'r': -rank, 's': src, 'v': value}) AS o FROM d WHERE NOT wrong GROUP BY entity, attribute, value),
+g AS (SELECT entity, attribute, max(top) AS best, sum(n) AS total FROM v GROUP BY ALL),
+w AS (SELECT v.*, best, total, count(*) FILTER (WHERE top = best) OVER (PARTITION BY entity, attribute) AS ties, row_number() OVER (PARTITION BY entity, attribute ORDER BY top IS NOT DISTINCT FROM best DESC, o) AS k FROM v JOIN g USING (entity, attribute)),
+r AS (SELECT entity, attribute, CASE WHEN best IS NULL THEN 'Unresolved' WHEN ties = 1 THEN 'Confirmed' ELSE 'Conflict' END AS status, CASE WHEN best IS NULL OR ties = 1 THEN value END AS value, CASE WHEN best IS NULL OR ties = 1 THEN o.s END AS source,
+    CASE WHEN ties = 1 AND best = 4 THEN 'high' WHEN ties = 1 THEN 'medium' ELSE 'low' END AS confidence,
+    CASE WHEN n IS NULL THEN 'no_valid_evidence' WHEN best IS NULL THEN 'insufficient_source_quality' WHEN ties > 1 THEN 'conflicting_equal_authority' WHEN total > n THEN 'higher_authority_source' WHEN sources > 1 THEN 'equivalent_multi_source_evidence' WHEN best = 4 THEN 'official_exact_model_explicit' ELSE 'specialized_exact_model_explicit' END AS reason,
+    coalesce(CASE WHEN best IS NULL THEN total ELSE n END, 0)::BIGINT AS n_support, coalesce(CASE WHEN best IS NULL THEN 0 ELSE total - n END, 0)::BIGINT AS n_conflict FROM a LEFT JOIN (SELECT * FROM w WHERE k = 1) USING (entity, attribute))"""
 
 
 @query(RESOLVE_SQL + " SELECT * FROM r")
@@ -522,4 +524,4 @@ def slug_and_words(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.identifier_words(F.concat("p_type", F.lit("Of"), "p_brand")).alias("words"))
 
 
-from . import canonical, normal, specs  # noqa: E402, F401  (they register their queries)
+from . import canonical, normal, resolution, specs  # noqa: E402, F401  (they register their queries)

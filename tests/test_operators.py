@@ -32,7 +32,7 @@ def test_measures(spark):
     assert one(spark, M.to_base("length", F.lit("in"), F.lit(2))) == Decimal("50.8")
     assert one(spark, M.to_base("length", F.lit("kg"), F.lit(2))) is None
     assert one(spark, M.undoubled_unit(F.col("t"), ("Hz", "W")), t="HzHz") == "Hz"
-    assert M.families_of("month") == ["duration_months"]
+    assert M.families_of("month") == ["duration_months", "duration_years"]
 
 
 def test_greedy_groups_are_not_transitive(spark):
@@ -41,6 +41,12 @@ def test_greedy_groups_are_not_transitive(spark):
     assert {(r.entity, r.seq): r.group for r in got.collect()} == {("e", 1): 0, ("e", 2): 0, ("e", 3): 1, ("e", 4): 0, ("f", 1): 0}
 
 
+def test_resolve_empty(spark):
+    none = spark.createDataFrame([], CLAIM)
+    assert V.resolve(none).count() == 0 and V.claim_diagnostics(none).count() == 0
+    assert V.resolve(none, spark.createDataFrame([("e", "a")], "entity string, attribute string")).first().reason == "no_valid_evidence"
+
+
 CLAIM = "entity string, attribute string, seq int, value string, source_url string, source_type string, authority string, confidence string, identity string, status string, variant_sensitive boolean, model_wide boolean"
 
 
@@ -56,8 +62,9 @@ def test_resolve(spark):
     expected = spark.createDataFrame([("e", "a"), ("e", "z")], "entity string, attribute string")
     got = {r.attribute: (r.status, r.value, r.confidence, r.reason) for r in V.resolve(spark.createDataFrame(rows, CLAIM), expected).collect()}
     assert got == {
-        "a": ("Confirmed", "1", "high", "higher_authority_source"), "b": ("Conflict", None, "low", "conflicting_sources"), "c": ("Unresolved", None, "low", "no_strong_evidence"),
-        "d": ("Unresolved", None, "low", "no_strong_evidence"), "f": ("Confirmed", "1", "medium", "equivalent_multi_source_evidence"), "z": ("Unresolved", None, "low", "no_evidence"),
+        "a": ("Confirmed", "1", "high", "higher_authority_source"), "b": ("Conflict", None, "low", "conflicting_equal_authority"), "c": ("Unresolved", "1", "low", "insufficient_source_quality"),
+        "d": ("Unresolved", None, "low", "missing_provenance"), "e": ("Unresolved", None, "low", "no_valid_evidence"), "f": ("Confirmed", "1", "medium", "equivalent_multi_source_evidence"),
+        "g": ("Unresolved", None, "low", "no_valid_evidence"), "z": ("Unresolved", None, "low", "no_valid_evidence"),
     }
 
 
