@@ -22,6 +22,7 @@ BLOCKED_SEGMENTS = ("about", "account", "blog", "contact", "login", "news", "new
 BLOCKED_DOMAINS = ("facebook.com", "instagram.com", "linkedin.com", "pinterest.com", "tiktok.com", "twitter.com", "vk.com", "x.com", "youtube.com", "youtu.be")
 MARKETPLACES = ("amazon", "aliexpress", "ebay", "ozon", "temu", "wildberries")
 REFERENCES = ("gsmarena.com", "manua.ls", "manuals.co.uk", "manualslib.com", "manuals.plus", "manymanuals.com", "nanoreview.net")
+FAMILY_LETTERS = ("FE", "SE", "XL", "XS", "XR", "LE", "GT", "GS", "OS", "HD", "UV", "TV")
 RETAIL_WORDS = ("bestbuy", "citilink", "currys", "digitec", "dns-shop", "galaxus", "kaufland", "mediamarkt", "mvideo", "otto", "shop", "store", "retail", "technopark")
 
 
@@ -34,7 +35,8 @@ def authority(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(authority(url), "^([^:]*)", 1)), "^www\\.", "")
+    """In lower case, without www. and port; an IPv6 address keeps its brackets."""
+    return F.regexp_replace(F.lower(F.regexp_extract(authority(url), "^(\\[[^\\]]*\\]|[^:]*)", 1)), "^www\\.", "")
 
 
 def path(url: Column) -> Column:
@@ -55,16 +57,23 @@ def query_keys(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no www, default port, doubled or final slash, fragment or tracking parameter; '' for
-    what is no http(s) URL. Parameters keep their order and their escapes."""
+    what is no http(s) URL. Parameters keep their order and their escapes; one without a value keeps its equals sign."""
+    return canonical(url, TRACKING, ("utm_",))
+
+
+def canonical(url: Column, drop: tuple[str, ...], prefixes: tuple[str, ...], port: bool = True) -> Column:
+    """canonical_url without the parameters named by drop or beginning with one of prefixes."""
     scheme = F.lower(F.regexp_extract(F.trim(url), "^([A-Za-z]+)://", 1))
-    port = F.regexp_extract(authority(url), ":(\\d+)$", 1)
+    number = F.regexp_extract(authority(url), ":(\\d+)$", 1)
     clean = F.regexp_replace(path(url), "/{2,}", "/")
     clean = F.when(clean.isin("", "/"), "/").otherwise(F.regexp_replace(clean, "/$", ""))
-    kept = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING))
-    q = F.array_join(kept, "&")
+    key = lambda p: F.lower(F.substring_index(p, "=", 1))
+    kept = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~key(p).rlike("^(?:" + "|".join(prefixes) + ")") & ~key(p).isin(*drop))
+    q = F.array_join(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    at = F.when(number.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), number)) if port else F.lit("")
     return F.when(
         scheme.isin("http", "https") & (host(url) != ""),
-        F.concat(scheme, F.lit("://"), host(url), F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port)), clean, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))),
+        F.concat(scheme, F.lit("://"), host(url), at, clean, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))),
     ).otherwise("")
 
 
@@ -140,14 +149,15 @@ def sku_token(model: Column) -> Column:
 
 
 def suffix_kind(suffix: Column) -> Column:
-    return F.when(compact(suffix).rlike("^([A-Z]{2}|[A-Z][0-9]|[0-9][A-Z]|[0-9]{1,2})$"), "regional").otherwise("variant")
+    """regional: two characters that are no family name; variant: the rest."""
+    return F.when(compact(suffix).rlike("^([A-Z]{2}|[A-Z][0-9]|[0-9][A-Z]|[0-9]{1,2})$") & ~compact(suffix).isin(*FAMILY_LETTERS), "regional").otherwise("variant")
 
 
 def sku_relation(wanted: Column, text: Column) -> Column:
     """exact, same_base (what follows is a regional suffix), variant or none, of the best token of the text."""
     base = compact(wanted)
     tokens = F.transform(F.split(text, "\\s+"), lambda t: compact(t))
-    rest = F.transform(F.filter(tokens, lambda t: t.startswith(base) & (base != "")), lambda t: F.substring(t, F.length(base) + 1, F.lit(99)))
+    rest = F.transform(F.filter(tokens, lambda t: t.startswith(base) & (base != "")), lambda t: F.substring(t, F.length(base) + 1, F.length(t)))
     kinds = F.transform(rest, lambda r: F.when(r == "", 0).when(suffix_kind(r) == "regional", 1).otherwise(2))
     return F.get(strings(("exact", "same_base", "variant", "none")), F.coalesce(F.array_min(kinds), F.lit(3)))
 

@@ -18,7 +18,7 @@ def composed(spark, d, rows, names):  # noqa: ANN001, ANN201
     lit = lambda v, t: F.lit(v).cast("string" if t is str else "boolean" if t is bool else "long")
     items = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), *[lit(v, t).alias(n) for v, t, n in zip(r, types, names, strict=True)]) for i, r in enumerate(rows, 1)])
     page = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.explode(items).alias("r")).select("s_suppkey", "s_nationkey", "r.*")
-    return page.select("s_suppkey", "i", *[(_filled(F.col(n)) if t is str else F.col(n)).alias(n) for n, t in zip(names, types, strict=True)])
+    return page.select("s_suppkey", "s_nationkey", "i", *[(_filled(F.col(n)) if t is str else F.col(n)).alias(n) for n, t in zip(names, types, strict=True)])
 
 
 def stated(rows, names, texts):  # noqa: ANN001, ANN201
