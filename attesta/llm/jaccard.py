@@ -106,27 +106,22 @@ def _likely(under: DataFrame, agreement: int) -> DataFrame:
 
     def links(trie: np.ndarray, doc: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         half, n = sketch.shape[1] // 2, len(doc)
-        left, right, step = [], [], 1
-        while step < n and len(at := np.flatnonzero(trie[step:] == trie[:-step])):
-            for k in range(0, len(at), 1 << 15):
-                i = at[k : k + (1 << 15)]
+        root, step = np.arange(n), 1  # rows rise by doc_id within a node, so the least row is the least document
+        while step < n and (near := trie[step:] == trie[:-step]).any():
+            at = np.flatnonzero(near & (root[step:] != root[:-step]))  # what is connected already need not be compared
+            for k in range(0, len(at), 1 << 14):
+                i = at[k : k + (1 << 14)]
                 apart = sketch[i] ^ sketch[i + step]
-                same = 64 * half - np.bitwise_count(apart[:, :half] | apart[:, half:]).sum(axis=1)
-                i = i[same >= agreement]
-                left.append(i)
-                right.append(i + step)
+                i = i[64 * half - np.bitwise_count(apart[:, :half] | apart[:, half:]).sum(axis=1) >= agreement]
+                a, b = root[i], root[i + step]
+                while len(a):
+                    parent = np.arange(n)
+                    np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+                    while (parent[parent] != parent).any():
+                        parent = parent[parent]
+                    root, a, b = parent[root], parent[a], parent[b]
+                    a, b = a[a != b], b[a != b]
             step += 1
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        root = np.arange(n)
-        while True:  # rows rise by doc_id within a node, so the least row is the least document
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
         far = np.flatnonzero(root != np.arange(n))
         return pa.RecordBatch.from_arrays([pa.array(doc[root[far]]), pa.array(doc[far])], ["a", "b"])
 
