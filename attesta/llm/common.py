@@ -173,9 +173,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, byte_level: bool) -> ChunkEncoder:
+def encoder(path: str, byte_level: bool, keep: int = 900_000) -> ChunkEncoder:
     """One for each file and worker process, so that tasks share its cache."""
-    return ChunkEncoder(path, byte_level)
+    return ChunkEncoder(path, byte_level, keep)
 
 
 def lean() -> None:

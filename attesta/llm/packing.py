@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import encoder, spill
 
+#: Chunks that a worker's encoder keeps: half of what it would for speed alone, as a pipeline's workers hold it beside other stages.
+KEEP = 450_000
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BINS = pa.schema([("done", pa.bool_()), ("bin", pa.int64()), ("size", pa.int32()), ("pieces", pa.list_(_PIECE))])
@@ -44,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     """Rows doc_id, piece, start, length, ids_crc32: each text's ids and end_id, cut only if longer than capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer, False)
+        e = encoder(tokenizer, False, KEEP)
         for b in batches:
             out = []
             for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist()), strict=True):
