@@ -141,11 +141,6 @@ def html_links_explode(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
 
 
-@query()
-def html_facts(spark, d):  # noqa: ANN001, ANN201
-    return H.page_facts(table(spark, d, "pages"))
-
-
 @query()
 def html_text(spark, d):  # noqa: ANN001, ANN201
     return H.page_text(table(spark, d, "pages"))
@@ -524,4 +519,4 @@ def slug_and_words(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.identifier_words(F.concat("p_type", F.lit("Of"), "p_brand")).alias("words"))
 
 
-from . import canonical, identify, normal, resolution, specs  # noqa: E402, F401  (they register their queries)
+from . import canonical, extract, identify, normal, resolution, specs  # noqa: E402, F401  (they register their queries)

@@ -96,12 +96,25 @@ def test_urls(spark):
 
 
 def test_html():
-    page = """<html><head><title>T</title><script type="application/ld+json">{"name": "Drill", "weight": {"name": "Weight", "value": 2, "unitText": "kg"}}</script></head>
-    <body><nav><a href="/x">x</a></nav><h2>Specs</h2><table><tr><th>Power</th><td>500 W</td></tr></table><dl><dt>Color<dd>red</dl><p>Voltage: 18 V</p><div><span>Speed</span><span>3000</span></div></body>"""
-    got = {(a, b): (m, s) for a, b, m, s in H.facts(page)}
-    assert got["Power", "500 W"] == ("html_table", "Specs") and got["Color", "red"][0] == "definition_list"
-    assert got["Voltage", "18 V"][0] == "label_value" and got["Weight", "2 kg"][0] == "json_ld" and got["Speed", "3000"][0] == "spec_block"
-    assert H.facts(None) == [] and H.facts("<p><b>unclosed <i>x") == []
+    page = """<html><head><title>T</title><script type="application/ld+json">{"@type": "Product", "name": "Drill", "weight": {"value": 2, "unitText": "kg"}}</script></head>
+    <body><nav><a href="/x">x</a></nav><h2>Specs</h2><table><tr><th>Power</th><td>500 W</td></tr></table><dl><dt>Color<dd>red</dl><p><b>Voltage:</b> 18 V</p><div class="specs"><div><span>Speed</span><span>3000</span></div></div></body>"""
+    got = {(r["label"], r["value"]): (r["method"], r["section"]) for r in H.facts(page).rows}
+    assert got["Power", "500 W"] == ("table_row", "Specs") and got["Color", "red"][0] == "definition_list" and got["weight", "2 kg"][0] == "json_ld_field"
+    assert got["Voltage", "18 V"][0] == "label_colon" and got["Speed", "3000"][0] == "element_pair"
+    assert H.facts(None).rows == [] and H.facts("<p><b>unclosed <i>x").rows == []
+
+
+def test_page_without_bounds():
+    """Neither depth nor number of nodes ends a read: the last of 8000 facts, 300 levels down, is found."""
+    deep = '{"specs": ' * 300 + '{"name": "Deepest", "value": "1 mm"}' + "}" * 300
+    rows = "".join(f"<tr><td>Row {i}</td><td>{i} mm</td></tr>" for i in range(8000))
+    got = {r["label"] for r in H.facts(f"<script type='application/json'>{deep}</script><table>{rows}</table>").rows}
+    assert {"Deepest", "Row 7999"} <= got
+
+
+def test_js_literals():
+    assert H.loads("{a: 'it\\'s', b: !0, c: void 0, d: [1, 2,], e: x.y, \"f\": null}") == {"a": "it's", "b": True, "c": None, "d": [1, 2], "e": None, "f": None}
+    assert H.loads("{a: ") is None and H.balanced("x{'}': [1]} y", 1) == 11
 
 
 def test_html_tables(spark):
