@@ -45,6 +45,20 @@ def sql_array(values) -> str:  # noqa: ANN001
 
 
 # ---------------------------------------------------------------- URLs
+# Beside the URLs of pages, one of each kind for every supplier: {k} is its key.
+URL_FORMS = (
+    "https://www.shop{k}.example/search?q=x", "https://a{k}.example/", "https://a{k}.example/de/", "https://a{k}.example/forum/t{k}", "https://a{k}.example/x/manual-{k}.pdf", "https://a{k}.example/x/products/", "https://a{k}.example/product/x-{k}?utm_source=n&b=1#top",
+    "https://a{k}.example/product/x-{k}?b=1", "https://www.amazon.de/dp/x-{k}", "https://gsmarena.com/x-{k}", "http://sub.example.com:8080/p/{k}/", "https://facebook.com/p/{k}", "https://a{k}.example/about/p", "https://google.com/p/{k}", "nothing-{k}", "https://mediamarkt{k}.co.uk/p//x", "https://a.b{k}.com.au/offersofproduct",
+)
+URLS_SQL = f"(SELECT page_id, url FROM pages UNION ALL SELECT 1000000 + s_suppkey * 100 + i, replace(f, '{{k}}', s_suppkey::VARCHAR) FROM supplier, (SELECT unnest({sql_array(URL_FORMS)}) AS f, generate_subscripts({sql_array(URL_FORMS)}, 1) AS i))"
+
+
+def urls(spark, d):  # noqa: ANN001, ANN201
+    forms = F.posexplode(U.strings(URL_FORMS)).alias("i", "f")
+    own = table(spark, d, "supplier").select("s_suppkey", forms).select((F.lit(1000000) + F.col("s_suppkey") * 100 + F.col("i") + 1).alias("page_id"), F.replace("f", F.lit("{k}"), F.col("s_suppkey").cast("string")).alias("url"))
+    return table(spark, d, "pages").select("page_id", "url").unionByName(own)
+
+
 HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
 PATH_SQL = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 QUERY_SQL = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
@@ -58,44 +72,44 @@ ROOT_SQL = f"""CASE WHEN len(l) < 2 THEN l[1] WHEN len(l) >= 3 AND (array_to_str
 SELECT page_id, CASE WHEN sch IN ('http', 'https') AND h <> '' THEN sch || '://' || h || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || p || CASE WHEN q = '' THEN '' ELSE '?' || q END ELSE '' END AS canonical, h AS host
 FROM (SELECT page_id, {HOST_SQL} AS h, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS sch, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*?:(\d+)(?:[/?#]|$)', 1) AS port,
     CASE WHEN regexp_replace({PATH_SQL}, '/+', '/', 'g') IN ('', '/') THEN '/' ELSE regexp_replace(regexp_replace({PATH_SQL}, '/+', '/', 'g'), '/$', '') END AS p,
-    array_to_string(list_filter(string_split({QUERY_SQL}, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(string_split(x, '=')[1]) NOT IN ({in_list(U.TRACKING)})), '&') AS q FROM pages)
+    array_to_string(list_filter(string_split({QUERY_SQL}, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(string_split(x, '=')[1]) NOT IN ({in_list(U.TRACKING)})), '&') AS q FROM {URLS_SQL})
 """)
 def url_canonical(spark, d):  # noqa: ANN001, ANN201
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", U.canonical_url(u).alias("canonical"), U.host(u).alias("host"))
+    return urls(spark, d).select("page_id", U.canonical_url(u).alias("canonical"), U.host(u).alias("host"))
 
 
-@query(f"SELECT page_id, {ROOT_SQL} AS root FROM (SELECT page_id, string_split({HOST_SQL}, '.') AS l FROM pages)")
+@query(f"SELECT page_id, {ROOT_SQL} AS root FROM (SELECT page_id, string_split({HOST_SQL}, '.') AS l FROM {URLS_SQL})")
 def registrable_domain(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "pages").select("page_id", U.registrable_domain(U.host(F.col("url"))).alias("root"))
+    return urls(spark, d).select("page_id", U.registrable_domain(U.host(F.col("url"))).alias("root"))
 
 
 LANDING_SQL = f"(list_has_any(s, {sql_array(U.SEARCH_SEGMENTS)}) OR (list_has_any(k, {sql_array(U.SEARCH_KEYS)}) AND NOT list_has_any(s, ['product', 'products', 'p', 'sku'])))"
 KIND_SQL = f"""CASE WHEN {LANDING_SQL} THEN 'catalog' WHEN len(s) = 0 OR (len(s) = 1 AND len(s[1]) <= 3) THEN 'homepage'
     WHEN list_has_any(w, {sql_array(U.WEAK_HINTS)}) THEN 'weak' WHEN list_has_any(w, {sql_array(U.SUPPORT_HINTS)}) OR lower(p) LIKE '%.pdf' THEN 'support'
     WHEN s[-1] IN ({in_list(U.CATALOG_SEGMENTS)}) OR list_contains(k, 'search') THEN 'catalog' WHEN list_has_any(s, {sql_array(U.PRODUCT_SEGMENTS)}) THEN 'product' ELSE 'other' END"""
-PARTS_SQL = f"SELECT page_id, url, {PATH_SQL} AS p, {SEGMENTS_SQL} AS s, {KEYS_SQL} AS k, regexp_extract_all(lower({PATH_SQL}), '[a-z0-9]+') AS w, {HOST_SQL} AS h FROM pages"
+PARTS_SQL = f"SELECT page_id, url, {PATH_SQL} AS p, {SEGMENTS_SQL} AS s, {KEYS_SQL} AS k, regexp_extract_all(lower({PATH_SQL}), '[a-z0-9]+') AS w, {HOST_SQL} AS h FROM {URLS_SQL}"
 
 
 @query(f"SELECT page_id, {KIND_SQL} AS kind FROM ({PARTS_SQL})")
 def page_kind(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "pages").select("page_id", U.page_kind(F.col("url")).alias("kind"))
+    return urls(spark, d).select("page_id", U.page_kind(F.col("url")).alias("kind"))
 
 
 @query(f"""
 SELECT page_id, CASE WHEN string_split(root, '.')[1] IN ({in_list(U.MARKETPLACES)}) THEN 'marketplace' WHEN root IN ({in_list(U.REFERENCES)}) THEN 'specialized_reference'
     WHEN h = 'example.com' OR h LIKE '%.example.com' THEN 'manufacturer' WHEN regexp_matches(h, '{"|".join(U.RETAIL_WORDS)}') THEN 'retailer' ELSE 'other' END AS source_type
-FROM (SELECT page_id, h, {ROOT_SQL} AS root FROM (SELECT page_id, {HOST_SQL} AS h, string_split({HOST_SQL}, '.') AS l FROM pages))
+FROM (SELECT page_id, h, {ROOT_SQL} AS root FROM (SELECT page_id, {HOST_SQL} AS h, string_split({HOST_SQL}, '.') AS l FROM {URLS_SQL}))
 """)
 def source_type(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "pages").select("page_id", U.source_type(U.host(F.col("url")), F.lit("example.com")).alias("source_type"))
+    return urls(spark, d).select("page_id", U.source_type(U.host(F.col("url")), F.lit("example.com")).alias("source_type"))
 
 
 def _candidates(spark, d):  # noqa: ANN001, ANN202
     u = F.col("url")
     kind = U.page_kind(u)
     score = R.candidate_score(F.lit("likely"), U.source_type(U.host(u), F.lit("example.com")), F.lit("unverified"), kind, F.lit(False), F.lit(False))
-    return table(spark, d, "pages").select("page_id", U.canonical_url(u).alias("canonical"), U.host(u).alias("host"), kind.alias("kind"), score.alias("score"), U.not_a_product(u).alias("blocked"))
+    return urls(spark, d).select("page_id", U.canonical_url(u).alias("canonical"), U.host(u).alias("host"), kind.alias("kind"), score.alias("score"), U.not_a_product(u).alias("blocked"))
 
 
 CANDIDATES_SQL = f"""c AS (SELECT a.page_id, a.canonical, a.host, k.kind, 30 + CASE t.source_type WHEN 'manufacturer' THEN 25 WHEN 'retailer' THEN 5 WHEN 'marketplace' THEN -25 ELSE 0 END
@@ -519,4 +533,4 @@ def slug_and_words(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.identifier_words(F.concat("p_type", F.lit("Of"), "p_brand")).alias("words"))
 
 
-from . import canonical, extract, identify, normal, resolution, specs  # noqa: E402, F401  (they register their queries)
+from . import canonical, discover, extract, identify, normal, resolution, specs  # noqa: E402, F401  (they register their queries)
