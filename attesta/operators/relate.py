@@ -161,3 +161,15 @@ def streaks(events: DataFrame, key: str, failed: Column, *order: Column) -> Data
     w = Window.partitionBy(key).orderBy(*order)
     marked = events.withColumn("_f", failed.cast("int")).withColumn("_g", F.sum(1 - F.col("_f")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.filter("_f = 1").groupBy(key, F.col("_g").alias("island")).agg(F.count("*").alias("length"))
+
+
+def bottleneck(losses: DataFrame, key: str, priority: dict[str, int]) -> DataFrame:
+    """key, bottleneck, n: the most frequent loss of each key (rows key, loss); of equals the one of least priority."""
+    n = losses.groupBy(key, "loss").agg(F.count("*").alias("n"))
+    return n.groupBy(key).agg(F.max_by(F.struct("loss", "n"), F.struct("n", -case(F.col("loss"), priority))).alias("m")).select(key, F.col("m.loss").alias("bottleneck"), F.col("m.n").alias("n"))
+
+
+def last_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each key the row that is last by the columns of order; aggregated before it is shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")

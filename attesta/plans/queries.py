@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import identity as I
 from ..functions import measure as M
 from ..functions import text as T
 from ..functions import url as U
+from ..operators import discovery as W
 from ..operators import relate as R
 from ..operators import resolve as V
 from ..sources import html as H
+from ..sources import tables as P
 from ..streaming import state as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,15 +147,18 @@ def tiered_topk_per_host(spark, d):  # noqa: ANN001, ANN201
 
 
 # ---------------------------------------------------------------- documents of the web
-@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<h[1-6][ >]')) AS n_headings, len(regexp_extract_all(html, '<a href="')) AS n_links FROM pages""")
+@query(r"""SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<h[1-6][ >]')) AS n_headings, len(regexp_extract_all(html, '<a href="')) AS n_links FROM pages""")
 def html_title_headings(spark, d):  # noqa: ANN001, ANN201
-    h = F.col("html")
-    return table(spark, d, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(h, F.lit("(<h[1-6][ >])"), 1)).cast("long").alias("n_headings"), F.size(F.regexp_extract_all(h, F.lit('(<a href=")'), 1)).cast("long").alias("n_links"))
+    pages = table(spark, d, "pages")
+    h = H.page_headings(pages).groupBy("page_id").agg(F.min(F.when(F.col("tag") == "title", F.col("text"))).alias("title"), F.count_if(F.col("tag") != "title").alias("n_headings"))
+    n = H.page_links(pages).groupBy("page_id").agg(F.count("*").alias("n_links"))
+    j = pages.select("page_id").join(h, "page_id", "left").join(n, "page_id", "left")
+    return j.select("page_id", "title", F.coalesce("n_headings", F.lit(0)).alias("n_headings"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
 def html_links_explode(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
+    return H.page_links(table(spark, d, "pages")).select("page_id", "href")
 
 
 @query()
@@ -160,14 +166,13 @@ def html_text(spark, d):  # noqa: ANN001, ANN201
     return H.page_text(table(spark, d, "pages"))
 
 
-@query(f"""WITH r AS (SELECT page_id, {ROOT_SQL} AS root, h FROM (SELECT page_id, {HOST_SQL} AS h, string_split({HOST_SQL}, '.') AS l FROM pages)),
-p AS (SELECT root, count(*) AS n_pages, count(DISTINCT h) AS n_hosts FROM r GROUP BY root)
-SELECT page_id, h AS host, n_pages, n_hosts, n_hosts > 1 AS corroborated FROM r JOIN p USING (root)""")
+@query(rf"""WITH h AS (SELECT page_id, {HOST_SQL} AS h FROM {URLS_SQL}), d AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'shop.' || h ELSE h END AS d FROM h WHERE h <> ''), l AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'cdn.' || h ELSE h END AS l FROM h WHERE page_id % 8 IN (1, 2) AND h <> '')
+SELECT d.page_id, d AS host, count(l.page_id) > 0 AS corroborated FROM d LEFT JOIN l ON d = l OR ends_with(d, '.' || l) OR ends_with(l, '.' || d) GROUP BY d.page_id, d""")
 def link_corroboration(spark, d):  # noqa: ANN001, ANN201
-    h = U.host(F.col("url"))
-    r = table(spark, d, "pages").select("page_id", h.alias("host"), U.registrable_domain(h).alias("root"))
-    p = r.groupBy("root").agg(F.count("*").alias("n_pages"), F.countDistinct("host").alias("n_hosts"))
-    return r.join(p, "root").select("page_id", "host", "n_pages", "n_hosts", (F.col("n_hosts") > 1).alias("corroborated"))
+    h = urls(spark, d).select("page_id", U.host(F.col("url")).alias("host")).filter("host <> ''")
+    domains = h.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("shop."), "host")).otherwise(F.col("host")).alias("domain"))
+    links = h.filter("page_id % 8 in (1, 2)").select(F.col("page_id").cast("string").alias("trusted"), F.when(F.col("page_id") % 4 == 1, F.concat(F.lit("cdn."), "host")).otherwise(F.col("host")).alias("host"))
+    return W.corroboration(domains, links).select("page_id", F.col("domain").alias("host"), F.col("evidence").isNotNull().alias("corroborated"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -177,10 +182,20 @@ def json_props_explode(spark, d):  # noqa: ANN001, ANN201
 
 
 # ---------------------------------------------------------------- text
-@query(rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(?i)(authorization[ ]*[:=][ ]*)[^ \n,;]+( [^ \n,;]+)?', '\1{T.MASK}', 'g'), '(?i)(bearer +)[a-z0-9._~+/=-]+', '\1{T.MASK}', 'g'),
-'(?i)((?:api_?key|token|secret|password|passwd)["'']?[ ]*[:=][ ]*)(?:"[^"\n]*"|''[^''\n]*''|[^ \n,;"'']+)', '\1{T.MASK}', 'g') AS text FROM conversations""")
+SECRETS = (" password: hunter2 x", ' API_KEY="a b" x', " Authorization: Basic abc x", " sent Bearer aZ9.~x y", "")
+MASKED = (f" password: {T.MASK} x", f" API_KEY={T.MASK} x", f" Authorization: {T.MASK} x", f" sent Bearer {T.MASK} y", "")
+
+
+@query(f"SELECT conv_id, turn, text || ({sql_array(MASKED)})[(turn % 5) + 1] AS text FROM conversations")
 def redact_conversations(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "conversations").select("conv_id", "turn", T.redact(F.col("text")).alias("text"))
+    secret = F.get(U.strings(SECRETS), (F.col("turn") % 5).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.redact(F.concat("text", secret)).alias("text"))
+
+
+@query(r"""SELECT doc_id, (length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')))::INTEGER AS units FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(128512) ELSE '' END AS text FROM documents)""")
+def utf16_units(spark, d):  # noqa: ANN001, ANN201
+    smile = F.when(F.col("doc_id") % 2 == 0, "\U0001f600").otherwise("")
+    return table(spark, d, "documents").select("doc_id", T.utf16_units(F.concat("text", smile)).alias("units"))
 
 
 @query()
@@ -332,15 +347,19 @@ def gap_states(spark, d):  # noqa: ANN001, ANN201
     return V.gap_states(schema, coverage)
 
 
-@query("""SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')""")
+@query("""SELECT p_partkey AS entity, 'tax_' || n AS attribute FROM part, range(1, 8) AS r(n) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber = n)""")
 def schema_missing(spark, d):  # noqa: ANN001, ANN201
-    found = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", "p_brand").join(found, "p_partkey", "left_anti")
+    expected = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.explode(U.strings(tuple(f"tax_{n}" for n in range(1, 8)))).alias("attribute"))
+    found = table(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), F.concat(F.lit("tax_"), "l_linenumber").alias("attribute")).distinct()
+    return V.missing_expected(found, expected)
 
 
-@query("""SELECT p_name AS name, count(*) AS n, CASE WHEN count(*) = 1 THEN 'mapped' ELSE 'ambiguous' END AS status FROM part GROUP BY p_name""")
+@query("""WITH a AS (SELECT p_name || ' ' || p_size AS alias, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1), l AS (SELECT p_partkey AS id, p_name || ' ' || (p_size + p_partkey % 2) AS alias FROM part)
+SELECT id, CASE WHEN coalesce(n, 0) = 0 THEN 'unmapped' WHEN n = 1 THEN 'mapped' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN first END AS canonical, coalesce(n, 0) AS n_candidates FROM l LEFT JOIN a USING (alias)""")
 def ambiguity_unique_match(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).withColumn("status", F.when(F.col("n") == 1, "mapped").otherwise("ambiguous"))
+    p = table(spark, d, "part")
+    labels = p.select(F.col("p_partkey").alias("id"), F.array(F.concat_ws(" ", "p_name", F.col("p_size") + F.col("p_partkey") % 2)).alias("variants"))
+    return R.alias_mapping(labels, p.select(F.concat_ws(" ", "p_name", "p_size").alias("alias"), F.col("p_partkey").alias("canonical")))
 
 
 @query("""SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS height, max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS width, max(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS depth, min(l_linestatus) AS unit FROM lineitem WHERE l_linenumber <= 3
@@ -403,8 +422,7 @@ def loss_histogram(spark, d):  # noqa: ANN001, ANN201
 SELECT l_partkey, cls AS bottleneck, n FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, pri) = 1""")
 def bottleneck(spark, d):  # noqa: ANN001, ANN201
     cls = F.when(F.col("l_returnflag") == "R", "kept").when(F.col("l_discount") <= 0.03, "discounted").otherwise("large")
-    c = table(spark, d, "lineitem").groupBy("l_partkey", cls.alias("cls")).agg(F.count("*").alias("n"))
-    return c.groupBy("l_partkey").agg(F.max_by(F.struct("cls", "n"), F.struct("n", -R.case(F.col("cls"), {"kept": 1, "discounted": 2, "large": 3}))).alias("m")).select("l_partkey", F.col("m.cls").alias("bottleneck"), F.col("m.n").alias("n"))
+    return R.bottleneck(table(spark, d, "lineitem").select("l_partkey", cls.alias("loss")), "l_partkey", {"kept": 1, "discounted": 2, "large": 3})
 
 
 @query("""WITH b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
@@ -433,10 +451,9 @@ def ttl_asof_lookup(spark, d):  # noqa: ANN001, ANN201
     return found.select("event_id", "entry_event_id", "entry_value")
 
 
-@query("SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events WHERE event_type <> 'error' GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type <> 'error' GROUP BY user_id")
 def last_success(spark, d):  # noqa: ANN001, ANN201
-    e = table(spark, d, "events").filter("event_type <> 'error'")
-    return e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.event_id", "r.value")
+    return R.last_of_each(table(spark, d, "events").filter("event_type <> 'error'").select("user_id", "event_id", "value", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
@@ -463,27 +480,6 @@ def tumbling_metrics(spark, d):  # noqa: ANN001, ANN201
 
 
 # ---------------------------------------------------------------- pages of documents, exports, identity
-@query("""WITH s AS (SELECT conv_id, turn, length(text) AS n, contains(lower(text), 'token') AS sibling, role = 'user' AS model FROM conversations)
-SELECT conv_id, turn, n FROM s QUALIFY (model AND NOT sibling) OR (NOT model AND NOT bool_or(sibling) OVER (PARTITION BY conv_id))""")
-def page_scope_by_document(spark, d):  # noqa: ANN001, ANN201
-    """A page that names the model stays unless it names a sibling; others only where the document names no sibling at all."""
-    s = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"), F.lower("text").contains("token").alias("sibling"), (F.col("role") == "user").alias("model"))
-    t = s.withColumn("any", F.max("sibling").over(Window.partitionBy("conv_id")))
-    return t.filter((F.col("model") & ~F.col("sibling")) | (~F.col("model") & ~F.col("any"))).select("conv_id", "turn", "n")
-
-
-@query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS k FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS n FROM l), h AS (SELECT *, max(CASE WHEN length(line) <= 40 AND NOT regexp_matches(line, '[0-9]') THEN n END) OVER (PARTITION BY conv_id ORDER BY n) AS head FROM o)
-SELECT conv_id, turn, k::INTEGER AS k, n - head AS distance FROM h WHERE n - head <= 3""")
-def tech_section_window(spark, d):  # noqa: ANN001, ANN201
-    """Lines within three lines of the last heading (a short line without digits), across pages."""
-    line = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "k")
-    o = line.withColumn("n", F.row_number().over(w).cast("long"))
-    h = o.withColumn("head", F.max(F.when((F.length("line") <= 40) & ~F.col("line").rlike("[0-9]"), F.col("n"))).over(w))
-    return h.select("conv_id", "turn", "k", (F.col("n") - F.col("head")).alias("distance")).filter("distance <= 3")
-
-
 @query("""SELECT l_partkey, coalesce(min(CASE WHEN l_linenumber = 1 THEN l_shipmode END), 'not found') AS line_1, coalesce(min(CASE WHEN l_linenumber = 2 THEN l_shipmode END), 'not found') AS line_2, coalesce(min(CASE WHEN l_linenumber = 3 THEN l_shipmode END), 'not found') AS line_3
 FROM (SELECT l_partkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY l_partkey""")
 def wide_pivot(spark, d):  # noqa: ANN001, ANN201
@@ -496,22 +492,22 @@ def long_unpivot(spark, d):  # noqa: ANN001, ANN201
     return R.long_form(table(spark, d, "part"), ["p_partkey"], ["p_name", "p_brand", "p_type"])
 
 
-@query("""SELECT p_partkey, l_suppkey AS source, CASE WHEN l_returnflag = 'R' THEN 'conflicting' WHEN l_suppkey IS NOT NULL THEN 'supporting' END AS role FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag = 'R' AS r, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'N' END AS l_returnflag FROM lineitem) ON l_partkey = p_partkey""")
+@query("""SELECT p_partkey AS entity, 'price' AS attribute, l_suppkey AS url, CASE WHEN r THEN 'conflicting' WHEN l_suppkey IS NOT NULL THEN 'supporting' END AS role FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag = 'R' AS r FROM lineitem WHERE l_linenumber = 7) ON l_partkey = p_partkey""")
 def evidence_flatten(spark, d):  # noqa: ANN001, ANN201
     """One row for each source of a part; a part without evidence has one empty row."""
-    line = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", "conflicting").otherwise("supporting").alias("role")).agg(F.count("*").alias("n"))
-    p = table(spark, d, "part").select("p_partkey").join(line, F.col("p_partkey") == F.col("l_partkey"), "left")
-    return p.select("p_partkey", F.col("l_suppkey").alias("source"), "role")
+    of = lambda c: F.collect_set(F.when(c, F.col("l_suppkey")))
+    line = table(spark, d, "lineitem").filter("l_linenumber = 7").groupBy(F.col("l_partkey").alias("entity")).agg(of(F.col("l_returnflag") != "R").alias("supporting"), of(F.col("l_returnflag") == "R").alias("conflicting"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("entity")).join(line, "entity", "left").select("entity", F.lit("price").alias("attribute"), F.lit("Confirmed").alias("status"), F.col("supporting").cast("array<string>").alias("supporting"), F.col("conflicting").cast("array<string>").alias("conflicting"))
+    return P.evidence_rows(p).select("entity", "attribute", F.col("url").cast("long").alias("url"), "role")
 
 
-@query("""SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, CASE WHEN a.p_name = b.p_name AND a.p_size = b.p_size THEN 'exact_variant' WHEN a.p_name = b.p_name THEN 'same_base_model' ELSE 'different_model' END AS relation
-FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+@query("""SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, CASE WHEN a.p_name <> b.p_name THEN 'different_model' WHEN a.p_size = b.p_size THEN 'exact_variant' ELSE 'same_base_model' END AS relation
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_partkey % 5 = b.p_partkey % 5""")
 def pairwise_identity(spark, d):  # noqa: ANN001, ANN201
-    """Pairs of parts that share brand, type and size: blocked by equal keys."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    b = p.select(F.col("p_partkey").alias("right_id"), F.col("p_name").alias("other"), "p_brand", "p_type", "p_size")
-    j = p.join(b, ["p_brand", "p_type", "p_size"]).filter("p_partkey < right_id")
-    return j.select(F.col("p_partkey").alias("left_id"), "right_id", F.when(F.col("p_name") == F.col("other"), "exact_variant").otherwise("different_model").alias("relation"))
+    """Pairs of parts that share brand, type and a block: an equi-join, then the relation of their identities."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("block"), "p_brand", "p_type", F.struct(F.col("p_brand").alias("brand"), F.col("p_name").alias("base_model"), F.col("p_size").cast("string").alias("variant_suffix")).alias("a"))
+    j = p.join(p.select(F.col("p_partkey").alias("right_id"), "block", "p_brand", "p_type", F.col("a").alias("b")), ["p_brand", "p_type", "block"]).filter("p_partkey < right_id")
+    return j.select(F.col("p_partkey").alias("left_id"), "right_id", I.compare_identities(F.col("a"), F.col("b"), ("variant_suffix",)).alias("relation"))
 
 
 @query("""SELECT c_custkey, regexp_extract(c_name, '#(0*)', 1) AS zeros, 'CUSTOMER' || lpad(c_custkey::VARCHAR, 9, '0') AS base, CASE WHEN c_custkey % 3 = 0 THEN 'exact' WHEN c_custkey % 3 = 1 THEN 'same_base' ELSE 'variant' END AS relation FROM customer""")
