@@ -328,15 +328,15 @@ def _hits(rows: DataFrame) -> DataFrame:
     return rows.withColumn("used", F.max((F.col("picked") & (F.size("values") > 0)).cast("int")).over(line) == 1).withColumn("nth", F.row_number().over(line.orderBy("rule")))
 
 
-def _rest(hits: DataFrame) -> DataFrame:
-    """Each line that no rule took, with what becomes of it: a fact, part of a list, a note that it restates something, or a reason to reject it."""
-    rest = hits.filter("not used and nth = 1").withColumn("target", list_target(F.col("section"), F.col("sub")))
+def _noted(hits: DataFrame) -> DataFrame:
+    """hits with note and fact of each line that no rule took (once): part of a list, a note that it restates something, or a reason to reject it."""
+    rest = hits.withColumn("left", ~F.col("used") & (F.col("nth") == 1)).withColumn("target", list_target(F.col("section"), F.col("sub")))
     role = lambda r: F.array_contains("roles", r)
     support, known = has(SUPPORT), lookup_canonical(part(LABEL_VALUE))
     says = F.concat(part(SUPPORT), F.lit(" support"))
-    rest = rest.withColumn("known", F.when(has(LABEL_VALUE), known))
+    rest = rest.withColumn("known", F.when(F.col("left") & has(LABEL_VALUE), known))
     note = (
-        F.when(role("body") & has(SIZES3), "merged:same dimensions in another unit")
+        F.when(~F.col("left"), None).when(role("body") & has(SIZES3), "merged:same dimensions in another unit")
         .when(role("body") & has(WEIGHT) & F.col("weighed"), "merged:same weight in another unit")
         .when(role("display") & support, "support")
         .when(role("display") & has(r"^\([^()]{2,24}\)$"), "merged:parenthetical qualifier of the preceding display value")
@@ -352,7 +352,7 @@ def _rest(hits: DataFrame) -> DataFrame:
     )
     rest = rest.withColumn("note", note)
     # A list takes its items in order while they fit; an item that doesn't leaves room for a shorter one after it.
-    order = Window.partitionBy(*KEY, "group", F.col("note") == "item").orderBy("seq")
+    order = Window.partitionBy(*KEY, "group", F.coalesce(F.col("note") == "item", F.lit(False))).orderBy("seq")
     size = F.struct(F.lit(0).alias("size"), F.lit(False).alias("kept"))
 
     def step(acc: Column, n: Column) -> Column:
@@ -379,23 +379,32 @@ def read_sections(lines: DataFrame) -> DataFrame:
 
     Rows without entity, section, seq or text are left out, as are blank lines; of rows that share a seq one is read. No rows give no
     facts; other columns are not read."""
-    hits = _hits(_lines(lines))
-    none = F.lit(None).cast("string")
-    picked = hits.filter("picked and size(values) > 0")
-    single = picked.filter("pick <> 'join'").select(*KEY, "sub", "canonical", "label", F.explode("values").alias("value"), "unit", "boolean", "seq")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "values")))
-    lists = picked.filter("pick = 'join'").groupBy(*KEY, "group", "rule", "sep").agg(F.first("sub").alias("sub"), F.min_by("canonical", "seq").alias("canonical"), F.min_by("label", "seq").alias("label"), ordered.alias("all"), F.min("seq").alias("seq"))
-    lists = lists.withColumn("value", F.expr("array_join(array_distinct(flatten(transform(all, x -> x.values))), sep)")).withColumn("unit", none).withColumn("boolean", F.lit(False))
-    made = picked.filter("size(generations) > 0").groupBy(*KEY, "group").agg(F.first("sub").alias("sub"), F.array_sort(F.collect_list(F.struct("rule", "generations"))).alias("all"), F.max("seq").alias("seq"))
-    made = made.select(*KEY, "sub", F.lit("network_generations").alias("canonical"), F.lit("Network generations").alias("label"), F.expr("array_join(array_distinct(flatten(transform(all, x -> x.generations))), '; ')").alias("value"), none.alias("unit"), F.lit(False).alias("boolean"), "seq")
-    rest = _rest(hits).filter("fact is not null")
-    alone = rest.filter("note not in ('buttons', 'item')").select(*KEY, "sub", "fact.*", none.alias("unit"), (F.col("note") == "support").alias("boolean"), "seq")
-    joined = rest.filter("note in ('buttons', 'item')").groupBy(*KEY, "group", "note").agg(F.first("sub").alias("sub"), F.min_by("fact.canonical", "seq").alias("canonical"), F.min_by("fact.label", "seq").alias("label"), F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "fact.value"))), lambda x: x["value"])), "; ").alias("value"), F.min("seq").alias("seq"))
-    joined = joined.withColumn("unit", none).withColumn("boolean", F.lit(False))
-    out = single.select(*_FACT)
-    for d in (lists, made, alone, joined):
-        out = out.unionByName(d.select(*_FACT))
-    return out
+    rows = _noted(_hits(_lines(lines))).withColumn("picked", F.col("picked") & (F.size("values") > 0))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    group = Window.partitionBy(*KEY, "group")
+
+    def gathered(which: Column, keys: tuple[str, ...], value: str) -> tuple[Column, Column]:
+        """The values of the rows of a group that `which` marks, in their order, and whether a row is the first of them."""
+        w = Window.partitionBy(*KEY, "group", *keys)
+        all_of = F.array_sort(F.collect_list(F.when(which, F.struct("seq", F.col(value).alias("v")))).over(w))
+        return all_of, which & (F.col("seq") == F.min(F.when(which, F.col("seq"))).over(w))
+
+    def fact(canonical: Column, label: Column, value: Column, unit: Column, boolean: Column) -> Column:
+        return F.struct(canonical.alias("canonical"), label.alias("label"), value.alias("value"), unit.alias("unit"), boolean.alias("boolean"))
+
+    lists, first = gathered(F.col("picked") & (F.col("pick") == "join"), ("rule",), "values")
+    items, item = gathered(F.col("note").isin("buttons", "item"), ("note",), "fact")
+    made = F.col("picked") & (F.size("generations") > 0)
+    networks = F.array_sort(F.collect_list(F.when(made, F.struct("rule", "generations"))).over(group))
+    last = made & (F.struct("seq", "rule") == F.max(F.when(made, F.struct("seq", "rule"))).over(group))
+    rows = rows.withColumn("lists", lists).withColumn("first", first).withColumn("items", items).withColumn("item", item).withColumn("networks", networks).withColumn("last", last)
+    own = F.when(F.col("picked") & (F.col("pick") != "join"), F.transform("values", lambda v: fact(F.col("canonical"), F.col("label"), v, F.col("unit"), F.col("boolean"))))
+    joined = F.when(F.col("first"), F.array(fact(F.col("canonical"), F.col("label"), F.expr("array_join(array_distinct(flatten(transform(lists, x -> x.v))), sep)"), none, no)))
+    network = F.when(F.col("last"), F.array(fact(F.lit("network_generations"), F.lit("Network generations"), F.expr("array_join(array_distinct(flatten(transform(networks, x -> x.generations))), '; ')"), none, no)))
+    alone = F.when(F.col("fact").isNotNull() & ~F.col("note").isin("buttons", "item"), F.array(fact(F.col("fact.canonical"), F.col("fact.label"), F.col("fact.value"), none, F.col("note") == "support")))
+    listed = F.when(F.col("item"), F.array(fact(F.col("fact.canonical"), F.col("fact.label"), F.array_join(F.array_distinct(F.transform("items", lambda x: x["v"]["value"])), "; "), none, no)))
+    facts = F.flatten(F.array_compact(F.array(own, joined, network, alone, listed)))
+    return rows.select(*KEY, "sub", "seq", F.explode(facts).alias("f")).select(*KEY, "sub", "f.*", "seq").select(*_FACT)
 
 
 def section_ledger(lines: DataFrame) -> DataFrame:
@@ -403,11 +412,10 @@ def section_ledger(lines: DataFrame) -> DataFrame:
     rows = lines.filter("entity is not null and section is not null and seq is not null and text is not null").withColumn("text", F.trim(F.regexp_replace(T(), r"\s+", " "))).filter("text <> ''")
     heads = merge_continuations(rows.dropDuplicates(["entity", "section", "seq"]).repartition(*KEY)).filter("heading")
     heads = heads.select(*KEY, F.lit(None).cast("string").alias("sub"), "seq", T().alias("line"), F.lit("heading").alias("outcome"), F.lit("sub-section heading (structure, not a value)").alias("reason"))
-    hits = _hits(_lines(lines))
-    taken = hits.filter("used and nth = 1").select(*KEY, "sub", "seq", T().alias("line"), F.lit("accepted").alias("outcome"), F.lit("").alias("reason"))
-    tagged = F.col("note").rlike("^(?:merged|rejected):")
-    left = _rest(hits).select(*KEY, "sub", "seq", T().alias("line"), F.when(tagged, F.substring_index("note", ":", 1)).otherwise("accepted").alias("outcome"), F.when(tagged, F.regexp_replace("note", "^[a-z]+:", "")).otherwise("").alias("reason"))
-    return heads.unionByName(taken).unionByName(left)
+    rows = _noted(_hits(_lines(lines))).filter("nth = 1")
+    tagged = F.coalesce(F.col("note").rlike("^(?:merged|rejected):"), F.lit(False))
+    told = rows.select(*KEY, "sub", "seq", T().alias("line"), F.when(tagged, F.substring_index("note", ":", 1)).otherwise("accepted").alias("outcome"), F.when(tagged, F.regexp_replace("note", "^[a-z]+:", "")).otherwise("").alias("reason"))
+    return heads.unionByName(told)
 
 
 def first_facts(facts: DataFrame) -> DataFrame:
