@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import encoder, spill
 
-#: Chunks that a worker's encoder keeps: half of what it would for speed alone, as a pipeline's workers hold it beside other stages.
-KEEP = 450_000
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BINS = pa.schema([("done", pa.bool_()), ("bin", pa.int64()), ("size", pa.int32()), ("pieces", pa.list_(_PIECE))])
@@ -42,11 +40,11 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep: int = 900_000) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32: each text's ids and end_id, cut only if longer than capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer, False, KEEP)
+        e = encoder(tokenizer, False, keep)
         for b in batches:
             out = []
             for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist()), strict=True):
@@ -78,15 +76,15 @@ def _level(items: DataFrame, parts: int, capacity: int, least_fill: int, level:
     return items.repartition(parts, key).mapInArrow(run, f"done boolean, bin bigint, size int, pieces array<{PIECE}>")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, per_task: int = 50_000, fan_in: int = 8, least_fill: float = 0.995) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, per_task: int = 50_000, fan_in: int = 8, least_fill: float = 0.995, keep: int = 900_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of docs (doc_id, text).
 
-    per_task bounds the items of a packing task at every level; bins filled to least_fill are emitted, the
+    keep bounds the chunks of text whose ids a worker remembers; per_task bounds the items of a packing task at every level; bins filled to least_fill are emitted, the
     others meet bins of fan_in times as many partitions in the next level, until one task holds them all or
     a level no longer saves bins. Null and empty texts are the single id end_id; equal rows are packed each;
     a null doc_id stays null; no rows give no rows; other columns are not read.
     """
-    cut = spill(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    cut = spill(pieces(docs, tokenizer, capacity, end_id, keep), "pieces")
     items = cut.select(F.col("length").cast("int").alias("size"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("pieces"))
     full = cut.filter(F.col("length") >= capacity)
     rest, done, level = items.filter(F.col("size") < capacity), [], 0

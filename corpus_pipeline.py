@@ -35,7 +35,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the training sequences."""
-    return pack(docs, _tokenizer("word_bpe_49k.json"))
+    return pack(docs, _tokenizer("word_bpe_49k.json"), keep=450_000)  # workers of other stages hold memory beside it
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
