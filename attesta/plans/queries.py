@@ -529,4 +529,4 @@ def slug_and_words(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.identifier_words(F.concat("p_type", F.lit("Of"), "p_brand")).alias("words"))
 
 
-from . import canonical, discover, extract, identify, normal, reports, resolution, specs  # noqa: E402, F401  (they register their queries)
+from . import canonical, connect, discover, extract, identify, normal, reports, resolution, specs  # noqa: E402, F401  (they register their queries)

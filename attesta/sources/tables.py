@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def cut(rows: DataFrame) -> DataFrame:
+    """rows, computed once and written to the folder that the session names for checkpoints, so that plans which use them several times don't
+    compute them anew and lost executors find them. A local session without such a folder gets one; on a cluster without one rows stay a plan."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            return rows
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="attesta-"))
+    return rows.checkpoint()
+
+
 SEARCH_RESULT = "query string, provider string, rank int, url string, title string, snippet string"
 FETCHED = "source_url string, final_url string, http_status int, content_type string, content string"
 
