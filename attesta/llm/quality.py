@@ -16,8 +16,18 @@ from .common import SPACES, lean, words
 SYMBOLS = "#*$%&|<>"
 SENTENCE_MARKS = ".!?;:…。！？"
 SEPARATORS = "|»›•"
-NAVIGATION = ("home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top", "share", "skip to content", "read more", "search")
-BOILERPLATE = ("all rights reserved", "cookie policy", "accept cookies", "terms of use", "terms of service", "privacy policy", "click here", "enable javascript", "lorem ipsum", "licensed under", "subscribe to our newsletter")
+NAVIGATION = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top", "share", "skip to content", "read more", "search",
+    "startseite", "menü", "anmelden", "registrieren", "weiter", "zurück", "nach oben", "teilen", "zum inhalt springen", "mehr lesen", "weiterlesen", "suche",
+    "inicio", "menú", "iniciar sesión", "registrarse", "siguiente", "anterior", "volver arriba", "compartir", "saltar al contenido", "leer más", "buscar",
+    "accueil", "connexion", "se connecter", "s’inscrire", "suivant", "précédent", "haut de page", "partager", "aller au contenu", "lire la suite", "rechercher",
+)
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "accept cookies", "terms of use", "terms of service", "privacy policy", "click here", "enable javascript", "lorem ipsum", "licensed under", "subscribe to our newsletter",
+    "alle rechte vorbehalten", "cookie-richtlinie", "cookies akzeptieren", "nutzungsbedingungen", "datenschutzerklärung", "hier klicken", "newsletter abonnieren",
+    "todos los derechos reservados", "política de cookies", "aceptar cookies", "términos de uso", "política de privacidad", "haga clic aquí", "suscríbase a nuestro",
+    "tous droits réservés", "politique de cookies", "accepter les cookies", "politique de confidentialité", "mentions légales", "cliquez ici", "abonnez-vous à notre",
+)
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 
 
