@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep: in
 
 
 def _level(items: DataFrame, parts: int, capacity: int, least_fill: int, level: int) -> DataFrame:
-    """Pack each of `parts` partitions of items (size, pieces); bins of least_fill or more are done."""
+    """Pack each of `parts` partitions of items (size, pieces, key: a number of their own, so that equal ids are dealt out too); bins of least_fill or more are done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,8 +72,7 @@ def _level(items: DataFrame, parts: int, capacity: int, least_fill: int, level:
                 out.append({"done": size >= least_fill, "bin": first + k, "size": size, "pieces": [p for i in members for p in rows[i]["pieces"]]})
             yield pa.RecordBatch.from_struct_array(pa.array(out, pa.struct(list(_BINS))))
 
-    key = F.xxhash64(F.lit(level), F.element_at("pieces", 1)["doc_id"], F.element_at("pieces", 1)["piece"])
-    return items.repartition(parts, key).mapInArrow(run, f"done boolean, bin bigint, size int, pieces array<{PIECE}>")
+    return items.select("size", "pieces", "key").repartition(parts, F.xxhash64(F.lit(level), "key")).select("size", "pieces").mapInArrow(run, f"done boolean, bin bigint, size int, pieces array<{PIECE}>")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, per_task: int = 50_000, fan_in: int = 8, least_fill: float = 0.995, keep: int = 900_000) -> DataFrame:
@@ -84,9 +83,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     a level no longer saves bins. Null and empty texts are the single id end_id; equal rows are packed each;
     a null doc_id stays null; no rows give no rows; other columns are not read.
     """
-    cut = spill(pieces(docs, tokenizer, capacity, end_id, keep), "pieces")
-    items = cut.select(F.col("length").cast("int").alias("size"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("pieces"))
-    full = cut.filter(F.col("length") >= capacity)
+    cut = spill(pieces(docs, tokenizer, capacity, end_id, keep).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    items = cut.select("key", F.col("length").cast("int").alias("size"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("pieces"))
+    full = cut.drop("key").filter(F.col("length") >= capacity)
     rest, done, level = items.filter(F.col("size") < capacity), [], 0
     count = rest.count()
     parts = max(1, -(-count // per_task), min(16, count // 2_000))
@@ -100,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         done.append(bins.select("bin", "pieces") if last else bins.filter("done").select("bin", "pieces"))
         if last:
             break
-        rest, count = bins.filter("not done").select("size", "pieces"), left
+        rest, count = bins.filter("not done").select("size", "pieces", F.col("bin").alias("key")), left
         parts = max(1, -(-parts // fan_in), -(-left // per_task))
     out = done[0]
     for d in done[1:]:
