@@ -233,6 +233,59 @@ def read_token_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("token_records").load(path)
 
 
+def record_index(spark: SparkSession, path: str) -> DataFrame:
+    """stem, at (byte offset), size (bytes of ids), doc_id, start of every record, from the index files alone; a row for each file of the manifest is
+    dealt out, their indexes are read by tasks."""
+    fs, root = _open(path)
+    with fs.open_input_stream(f"{root}/manifest.json") as f:
+        files = json.loads(f.read())["files"]
+    rows = spark.createDataFrame([(f["stem"], f["start"]) for f in files], "stem string, start long").repartition(max(1, len(files)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(path)
+        for b in batches:
+            for stem, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with fs.open_input_stream(f"{root}/{stem}.idx") as f:
+                    while raw := f.read(32 * 65536):
+                        x = np.frombuffer(raw, "<i8").reshape(-1, 4)
+                        docs = pa.array(x[:, 0], pa.int64(), mask=x[:, 0] == -(1 << 63))
+                        yield pa.RecordBatch.from_arrays([pa.array([stem] * len(x)), pa.array(x[:, 1]), pa.array(x[:, 2]), docs, pa.array(x[:, 3] + start)], ["stem", "at", "size", "doc_id", "start"])
+
+    return rows.mapInArrow(run, "stem string, at long, size long, doc_id long, start long")
+
+
+def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
+    """All records in a random order that the seed fixes: doc_id, start, ids. The index is sorted by a hash of seed and place, then each task seeks
+    its records, so neither texts nor ids are shuffled. A damaged record fails the read."""
+    order = F.xxhash64(F.lit(seed), "stem", "at")
+    index = record_index(spark, path).withColumn("turn", order).repartitionByRange("turn").sortWithinPartitions("turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(path)
+        files: dict = {}
+        try:
+            for b in batches:
+                for k in range(0, b.num_rows, 256):
+                    part, data = b.slice(k, 256), []
+                    for stem, at, size in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                        if stem not in files:
+                            if len(files) >= 64:  # few handles at a time
+                                files.pop(next(iter(files))).close()
+                            files[stem] = fs.open_input_file(f"{root}/{stem}.rec")
+                        files[stem].seek(at)
+                        data.append(files[stem].read(size + 16))
+                    ids = [d[12:-4] for d in data]
+                    for d, h, c, size, stem, at in zip(data, crc32c([d[:8] for d in data]), crc32c(ids), part.column(2).to_pylist(), part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        if struct.unpack("<QI", d[:12]) != (size, masked(h)) or struct.unpack("<I", d[-4:])[0] != masked(c):
+                            raise ValueError(f"{stem}: the record at {at} is damaged")
+                    yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+        finally:
+            for f in files.values():
+                f.close()
+
+    return index.mapInArrow(run, "doc_id long, start long, ids binary")
+
+
 def record_digests(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write docs to a new folder in the shared one, read it back: doc_id, start, n_tokens, ids_crc32 (of u32 ids)."""
     path = scratch(docs.sparkSession, "records")

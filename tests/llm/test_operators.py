@@ -82,6 +82,8 @@ def test_quality_lines():
     r = quality.judge(good + "\nHome | About | Contact\nAll rights reserved.\n\nNext\n" + good.replace("word", "other"))
     assert r["clean_text"] == good + "\n\n" + good.replace("word", "other") and r["kept"] and r["n_lines_failed"] == 3
     assert not quality.judge(good + "\n" + " ".join(f"w{i}###" for i in range(60)))["kept"]
+    for line in ("Startseite", "Alle Rechte vorbehalten", "Leer más", "Política de privacidad", "Précédent", "Tous droits réservés 2024"):
+        assert quality.line_fails(line, len(line.split()), quality.Rules()) in ("navigation", "boilerplate"), line
     assert not quality.judge(None)["kept"] and quality.judge("a b a b a b a b a b")["n_repeat_words"] == 10
 
 
@@ -292,6 +294,24 @@ def test_records_file(spark, docs, rows, tmp_path):
         back.count()
 
 
+def test_records_shuffled(spark, docs, rows, tmp_path):
+    path = f"file://{tmp_path}/rec"
+    binary.write_token_records(docs, path, BYTES)
+    key = lambda r: (r.doc_id, r.start, bytes(r.ids))
+    whole = sorted(map(key, binary.read_token_records(spark, path).collect()), key=lambda k: k[1])
+    one, same, other = (list(map(key, binary.read_shuffled(spark, path, s).collect())) for s in (1, 1, 2))
+    assert one == same and one != other and sorted(one, key=lambda k: k[1]) == sorted(other, key=lambda k: k[1]) == whole and one != whole
+    assert binary.record_index(spark, path).count() == len(rows)
+
+
+def test_packing_deals_equal_ids(spark):
+    """Rows without a doc_id, or with one doc_id, are dealt to all tasks of a level."""
+    docs = spark.createDataFrame([(None, "a b c")] * 4000 + [(5, "d e f")] * 4000, "doc_id long, text string").repartition(8)
+    got = packing.pack(docs, WORDS, 64, per_task=1000).collect()
+    tasks = Counter(r.sequence_id >> 32 & 0xFFFFF for r in got if r.sequence_id >> 52 == 1)
+    assert len(got) == 8000 and len(tasks) == 8 and max(tasks.values()) < 2000
+
+
 ODD = st.text(st.sampled_from(list(" \n\t aZé中'stlm!?.,-_0٣  \x1c\x85<|endoftext|>")) | st.characters(codec="utf-8"), max_size=60)
 
 
