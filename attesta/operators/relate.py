@@ -173,3 +173,20 @@ def last_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     """Of each key the row that is last by the columns of order; aggregated before it is shuffled."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+
+
+def token_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """item, doc, matched, required: documents (doc, tokens) that hold the required number of a query's tokens (item, tokens): half of them, two at least, one of one.
+
+    A document with `required` of n tokens has one of any n - required + 1 of them, so only the rarest that many of each query look for documents;
+    a common word brings no pairs. What is found is counted exactly. Tokens are different ones; empty lists match nothing."""
+    need = F.when(F.col("n") == 1, 1).otherwise(F.greatest(F.lit(2), F.floor((F.col("n") + 1) / 2))).cast("int")
+    q = queries.filter(F.size("tokens") > 0).withColumn("n", F.size("tokens")).withColumn("required", need)
+    held = docs.select("doc", F.explode("tokens").alias("token"))
+    wanted = q.select("item", "n", "required", F.explode("tokens").alias("token"))
+    seen = held.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "token"))
+    rare = wanted.join(seen, "token", "left").withColumn("place", place).filter("place <= n - required + 1")
+    pairs = rare.select("item", "token").join(held, "token").select("item", "doc").distinct()
+    both = pairs.join(q.select("item", "required", F.col("tokens").alias("own")), "item").join(docs, "doc")
+    return both.select("item", "doc", F.size(F.array_intersect("own", "tokens")).cast("long").alias("matched"), "required").filter("matched >= required")

@@ -219,13 +219,10 @@ w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_
 m AS (SELECT item_id, doc_id, n, count(*) AS matched FROM t JOIN u USING (token) GROUP BY ALL)
 SELECT item_id, doc_id, matched, CASE WHEN n = 1 THEN 1 ELSE greatest(2, (n + 1) // 2) END AS required FROM m WHERE matched >= CASE WHEN n = 1 THEN 1 ELSE greatest(2, (n + 1) // 2) END""")
 def query_token_quality(spark, d):  # noqa: ANN001, ANN201
-    """Documents that hold half of an item's tokens or more: an equi-join on tokens, counted before anything else."""
-    q = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.filter(T.words(F.col("text")), lambda t: F.length(t) >= 2)).alias("qt"))
-    t = q.select("item_id", F.size("qt").alias("n"), F.explode("qt").alias("token"))
-    u = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("token"))
-    m = t.join(u, "token").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("matched"))
-    need = F.when(F.col("n") == 1, 1).otherwise(F.greatest(F.lit(2), F.floor((F.col("n") + 1) / 2)))
-    return m.select("item_id", "doc_id", "matched", need.cast("int").alias("required")).filter("matched >= required")
+    """Documents that hold half of an item's tokens or more."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.array_distinct(F.filter(T.words(F.col("text")), lambda t: F.length(t) >= 2)).alias("tokens"))
+    u = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.array_distinct(T.words(F.col("text"))).alias("tokens"))
+    return R.token_matches(q, u).withColumnsRenamed({"item": "item_id", "doc": "doc_id"})
 
 
 @query("""SELECT source, lang, min(doc_id) AS first_seq, arg_min(doc_id, (CASE WHEN n_chars > 3000 THEN 0 ELSE 1 END) * 1000000000000 + doc_id) AS seq, CASE WHEN max(n_chars) > 3000 THEN 'json_ld' ELSE 'plain_text' END AS method FROM documents GROUP BY source, lang""")
