@@ -237,6 +237,17 @@ def test_templates_stay_apart(spark, crowd):
     assert got == brute_near(rows)
 
 
+def test_recall_at_the_threshold(spark):
+    """300 pairs of similarity 89 / 111 = 0.802: a run of seven words replaced among 104."""
+    rng, rows = random.Random(12), []
+    for i in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        at = rng.randrange(4, 93)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:at] + [f"n{i}_{k}" for k in range(7)] + w[at + 7 :]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == (2 * i, 1) for i in range(300)) >= 299 and sum(n for _, n in got.values()) <= 600
+
+
 @pytest.mark.parametrize("rate", [0.8, 0.85, 0.95])
 def test_sketches(rate):
     """Sketches of pairs at the threshold or above pass; those of pairs far below don't."""
