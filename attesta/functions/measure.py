@@ -41,8 +41,8 @@ FACTOR = "decimal(22,12)"
 
 
 def number_text(c: Column) -> Column:
-    """A written number with a point: of comma and point the later is decimal; groups of three after single marks are thousands."""
-    body = F.regexp_replace(F.trim(c), "^[+]", "")
+    """A written number with a point: of comma and point the later is decimal; groups of three after single marks, spaces or apostrophes are thousands."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(c), "^[+]", ""), "(?<=\\d)[ \u00a0\u202f'’](?=\\d{3}(?!\\d))", "")
     comma, point = F.instr(F.reverse(body), ","), F.instr(F.reverse(body), ".")
     both = F.when(comma < point, F.regexp_replace(F.regexp_replace(body, "\\.", ""), ",", ".")).otherwise(F.regexp_replace(body, ",", ""))
     grouped = F.when(body.rlike("^-?\\d{1,3}(,\\d{3})+$"), F.regexp_replace(body, ",", "")).otherwise(F.regexp_replace(body, ",", "."))

@@ -152,8 +152,8 @@ def resolve(claims: DataFrame, expected: DataFrame | None = None, hints: DataFra
         F.max("valid").alias("valid"), F.max("usable").alias("usable"),
     )
     per = per.withColumn("heads", _heads(F.col("strong"))).withColumn("all_heads", _heads(F.col("all")))
-    members = lambda h, of: F.filter("strong", lambda v: F.get(F.col("heads"), (_group_of(F.col("heads"), v["cmp"]) - 1).cast("int"))["cmp"] == h["cmp"])  # noqa: E731, ARG005
-    groups = F.transform("heads", lambda h: F.struct(F.array_max(F.transform(members(h, None), lambda v: v["top"])).alias("top"), F.array_min(F.transform(members(h, None), lambda v: v["order"])).alias("order"), h["cmp"].alias("cmp")))
+    members = lambda h: F.filter("strong", lambda v: F.get(F.col("heads"), (_group_of(F.col("heads"), v["cmp"]) - 1).cast("int"))["cmp"] == h["cmp"])
+    groups = F.transform("heads", lambda h: F.struct(F.array_max(F.transform(members(h), lambda v: v["top"])).alias("top"), F.array_min(F.transform(members(h), lambda v: v["order"])).alias("order"), h["cmp"].alias("cmp")))
     per = per.withColumn("groups", groups).withColumn("best_rank", F.array_max(F.transform("groups", lambda g: g["top"])))
     per = per.withColumn("tops", F.array_sort(F.transform(F.filter("groups", lambda g: g["top"] == F.col("best_rank")), lambda g: F.struct(g["order"], g["cmp"]))))
     per = per.withColumn("winner", F.get("tops", 0)["cmp"])

@@ -7,7 +7,6 @@ match a rule) are windows over that partitioning. Sections are what a page shows
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame

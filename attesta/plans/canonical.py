@@ -9,7 +9,6 @@ from ..functions import measure as M
 from ..operators import concepts as O
 from .normal import composed, stated
 from .queries import query, table
-from .specs import _filled
 
 TABLE = [
     K.Concept("power_w", "measure", "W", "power", labels=(r"^(?:rated )?power$", r"^leistung$"), weak=(r"^connection$",), plausible=(1, 20000), component=True),

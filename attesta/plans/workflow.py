@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
-from ..functions import url as U
 from ..functions.concepts import Concept
 from ..operators import concepts as O
 from ..operators import discovery as D
@@ -147,6 +146,3 @@ def replayed(spark: SparkSession, path: str) -> DataFrame:
     """Recorded result pages in a folder, by the data source."""
     spark.dataSource.register(P.RecordedSearch)
     return spark.read.format("recorded_search").load(path)
-
-
-__all__ = ["Repository", "Services", "Verifier", "product_profiles", "recorded", "replayed", "run_batch", "select_candidates", "stored", "verify_products", "T", "U"]

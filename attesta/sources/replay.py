@@ -7,7 +7,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from urllib.parse import parse_qs, unquote, urljoin, urlparse
+from urllib.parse import parse_qs, urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import identity as I
 from ..functions import url as U
-from .html import clean, parse
+from .html import parse
 from .tables import cut
 
 #: Where a provider's pages have results: class (or tag) of a result's link and of its snippet, and the parameter of redirects.
@@ -235,7 +235,3 @@ def baseline_rows(spark: SparkSession, path: str) -> DataFrame:
             raise
         whole = spark.createDataFrame([], kind)
     return whole.select(F.explode("products").alias("p")).select(F.col("p.id").alias("product"), "p.confirmed", "p.coverage")
-
-
-def snippet(text: str) -> str:
-    return clean(unquote(text))

@@ -21,7 +21,7 @@ def one(spark, expr, **values):
     return row.select(expr.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("text", "want"), [("1,234.56", "1234.56"), ("1.234,5", "1234.5"), ("12,5", "12.5"), ("1,234", "1234"), ("1.234.567", "1234567"), ("-3", "-3"), ("abc", None)])
+@pytest.mark.parametrize(("text", "want"), [("1,234.56", "1234.56"), ("1.234,5", "1234.5"), ("12,5", "12.5"), ("1,234", "1234"), ("1.234.567", "1234567"), ("-3", "-3"), ("abc", None), ("1 234,5", "1234.5"), ("1'234", "1234"), ("12 345 678", "12345678"), ("1 2", None)])
 def test_numbers(spark, text, want):
     assert one(spark, M.number(F.col("t")), t=text) == (None if want is None else Decimal(want))
 
@@ -175,3 +175,31 @@ def test_sinks(spark, tmp_path):
     assert S.unique_or_fail(t, "k").count() == 2
     with pytest.raises(Exception, match="repeated key"):
         S.unique_or_fail(t.union(t), "k").collect()
+
+
+def test_small_functions(spark):
+    import hashlib
+    import hmac
+
+    from attesta.functions import identity as I
+    from attesta.functions import normalize as N
+    from attesta.operators import report as P
+
+    want = hmac.new(b"key", b"12345", hashlib.sha256).hexdigest()[:10]
+    assert one(spark, P.scoped_id(F.lit(12345), "key")) == want
+    with pytest.raises(ValueError, match="64 bytes"):
+        P.scoped_id(F.lit(1), "k" * 65)
+    assert one(spark, N.text_units(F.col("t")), t="1.5Ah and 50 HzHz, 3m") == "1.5 Ah and 50 Hz, 3m" and one(spark, N.text_units(F.lit(None).cast("string"))) is None
+    away = lambda a, b: one(spark, I.redirected_away(F.lit("MX500"), F.lit(a), F.lit(b)))
+    assert away("https://a.example/p/mx500", "https://a.example/all") and not away("https://a.example/p/mx500", "https://a.example/de/mx500") and not away("https://a.example/x", "https://a.example/all")
+    assert one(spark, U.search_queries(F.lit("Acme"), F.lit("MX500"), F.lit(None).cast("string"))) == ["Acme MX500", '"Acme MX500"']
+    assert round(one(spark, M.celsius(F.lit("°F"), F.lit(482.0))), 6) == 250.0 and one(spark, M.celsius(F.lit("K"), F.lit(1.0))) is None
+    counts = P.value_counts(spark.createDataFrame([("a",), ("a",), (None,)], "k string"), "k")
+    assert {r.k: r.n for r in counts.collect()} == {"a": 2, None: 1}
+
+
+def test_fetched_documents(spark, tmp_path):
+    rows = [("u", "u", 200, "text/html", "<html>"), ("u", "u.pdf", 200, "", "x"), ("u", "u", 404, "", ""), ("u", "u", 403, "", "x"), ("u", "u", 500, "", "x"), ("u", "u", 200, "text/plain", ""), (None, None, None, None, None)]
+    spark.createDataFrame(rows, S.FETCHED).write.parquet(f"{tmp_path}/f")
+    got = {(r.fetch_status, r.document_type) for r in S.fetched_documents(spark, f"{tmp_path}/f").collect()}
+    assert got == {("success", "html"), ("success", "pdf"), ("not_found", "unknown"), ("blocked", "unknown"), ("error", "unknown"), ("empty", "text"), ("empty", "unknown")}
