@@ -421,3 +421,47 @@ def first_facts(facts: DataFrame) -> DataFrame:
     """Of the facts of an entity with one canonical name the first, by section and seq."""
     rest = [c for c in facts.columns if c not in ("entity", "canonical")]
     return facts.groupBy("entity", "canonical").agg(F.min_by(F.struct(*rest), F.struct("section", "seq", "value")).alias("f")).select("entity", "canonical", "f.*").select(*facts.columns)
+
+
+def model_column(cells: DataFrame) -> DataFrame:
+    """Lines (entity, section, seq, text, bold) of the column of a specification table that is the model's.
+
+    cells: entity, section, seq, column, header, text, bold, model. A column whose header names the model exactly is its; of a table whose headers name
+    no model at all, lines on which every column agrees hold for it; a table of other models only gives nothing."""
+    from ..functions.identity import match_model, parts
+
+    rows = cells.withColumn("_match", match_model(F.col("model"), F.col("header"))).withColumn("_like", F.arrays_overlap(parts(F.col("model")), parts(F.col("header"))))
+    of = Window.partitionBy(*KEY)
+    rows = rows.withColumn("_own", F.min(F.when(F.col("_match") == "exact", F.col("column"))).over(of)).withColumn("_named", F.max(F.col("_like") | F.col("_match").isin("mismatch", "likely_variant")).over(of))
+    rows = rows.withColumn("_columns", F.size(F.collect_set("column").over(of)))
+    line = Window.partitionBy(*KEY, "seq", "text")
+    agreed = F.size(F.collect_set("column").over(line)) == F.col("_columns")
+    rows = rows.withColumn("_agreed", agreed).withColumn("_first", F.col("column") == F.min("column").over(of))
+    keep = F.when(F.col("_own").isNotNull(), F.col("column") == F.col("_own")).otherwise(~F.coalesce("_named", F.lit(False)) & F.col("_agreed") & F.col("_first"))
+    return rows.filter(keep).select(*KEY, "seq", "text", "bold")
+
+
+#: Facts that prose may state: attribute, pattern with the value in its first group, unit.
+PROSE = (
+    ("battery_capacity", r"(?i)(\d[\d,]{2,})\s*mAh\b", "mAh"), ("charging_power", r"(?i)(\d{2,3})\s?W\b[^.]{0,30}?\bcharging", "W"), ("refresh_rate", r"(?i)(\d{2,3})\s?Hz\b[^.]{0,30}?\b(?:refresh|display|screen)", "Hz"), ("net_weight", r"(?i)\bweighs?(?:\s+(?:only|just|in at))?\s+(\d+(?:\.\d+)?)\s*(?:g|grams)\b", "g"),
+    ("peak_brightness", r"(?i)(\d[\d,]{2,})\s*nits\b", "nits"), ("ip_rating", r"\b(IP\d{2}[A-Z]?)\b", None),
+)
+
+
+def sibling_value(values: Column, text: Column, model: Column) -> Column:
+    """The only different value among matches, else the only one that follows the model's last word within 60 characters and without another number, else null."""
+    distinct = F.array_distinct(values)
+    tail = F.element_at(F.filter(F.split(F.coalesce(model, F.lit("")), r"\s+"), lambda w: w != ""), -1)
+    near = F.filter(distinct, lambda v: F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?i)\Q"), tail, F.lit(r"\E(?![\w])[^.\d]{0,60}\Q"), v, F.lit(r"\E"))))
+    return F.when(F.size(distinct) == 1, distinct[0]).when((F.size(distinct) > 1) & (F.size(near) == 1), near[0])
+
+
+def prose_facts(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """entity, attribute, value, unit that the prose of official pages (entity, model, text) states: only where one value is meant, as pages tell of sibling
+    variants too. known (entity, attribute) is left out."""
+    def row(name: str, pattern: str, unit: str | None) -> Column:
+        found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 1), lambda v: v)
+        return F.struct(F.lit(name).alias("attribute"), bare(sibling_value(found, F.col("text"), F.col("model"))).alias("value"), F.lit(unit).cast("string").alias("unit"))
+
+    facts = pages.select("entity", F.explode(F.array(*[row(*x) for x in PROSE])).alias("f")).select("entity", "f.*").filter("value is not null").distinct()
+    return facts if known is None else facts.join(known.select("entity", "attribute").distinct(), ["entity", "attribute"], "left_anti")

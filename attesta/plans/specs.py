@@ -169,3 +169,28 @@ SELECT replace(key, ' ', '_') AS canonical, arg_min(label, seq) AS label, 'disco
 def schema_discovered(spark, d):  # noqa: ANN001, ANN201
     labels = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.concat_ws(" ", F.substring_index("p_name", " ", 1), (F.col("p_partkey") % 5).cast("string")).alias("label"))
     return C.discovered_definitions(labels, spark.createDataFrame([("color", "Red 1"), ("color", "BLUE 2")], "canonical string, alias string"))
+
+
+# Entity kind, column, header, line, text of tables with a column for each model; and what the model's column states.
+_CELLS = (
+    ("a", 0, "MX{s}00", 1, "Typical 5,{s}0 mAh"), ("a", 1, "MX{s}99", 1, "Typical 9,999 mAh"), ("b", 0, "Standard", 1, "Typical 4,{s}0 mAh"), ("b", 1, "Large", 1, "Typical 4,{s}0 mAh"), ("b", 0, "Standard", 2, "24+ hour battery life"), ("b", 1, "Large", 2, "30 hour battery life"),
+    ("c", 0, "MX{s}99", 1, "Typical 7,777 mAh"), ("c", 1, "MX{s}98", 1, "Typical 8,888 mAh"),
+)
+
+
+@query("SELECT s_suppkey * 10 + k AS entity, 'battery_capacity' AS canonical, c || (s_nationkey + 10) || '0' AS value FROM supplier, (VALUES (0, '5'), (1, '4')) AS v(k, c)")
+def model_columns(spark, d):  # noqa: ANN001, ANN201
+    cells = F.array(*[F.struct(F.lit("abc".index(k)).alias("k"), F.lit(c).alias("column"), F.lit(h).alias("header"), F.lit(q).alias("seq"), F.lit(t).alias("text")) for k, c, h, q, t in _CELLS])
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.explode(cells).alias("c")).select("s_suppkey", "s_nationkey", "c.*")
+    rows = rows.select((F.col("s_suppkey") * 10 + F.col("k")).alias("entity"), F.lit("Battery").alias("section"), "seq", "column", _filled(F.col("header")).alias("header"), _filled(F.col("text")).alias("text"), F.lit(False).alias("bold"), F.concat(F.lit("MX"), F.col("s_nationkey") + 10, F.lit("00")).alias("model"))
+    return X.read_sections(X.model_column(rows)).select("entity", "canonical", "value")
+
+
+_PROSE = "The MX{s}00 has a 5,{s}0 mAh cell. It weighs just 2{s} grams. Up to 120 Hz refresh, or 90 Hz display on others. Rated IP68. The MX{s}00 reaches 1{s}00 nits, the Pro 2{s}00 nits."
+
+
+@query("""SELECT s_suppkey AS entity, attribute, replace(value, '{s}', (s_nationkey + 10)::VARCHAR) AS value, unit FROM supplier, (VALUES ('battery_capacity', '5{s}0', 'mAh'), ('net_weight', '2{s}', 'g'), ('peak_brightness', '1{s}00', 'nits')) AS v(attribute, value, unit)""")
+def prose_facts(spark, d):  # noqa: ANN001, ANN201
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), "s_suppkey", "s_nationkey")
+    pages = s.select("entity", F.concat(F.lit("Acme MX"), F.col("s_nationkey") + 10, F.lit("00")).alias("model"), _filled(F.lit(_PROSE)).alias("text"))
+    return X.prose_facts(pages, s.select("entity", F.lit("ip_rating").alias("attribute")))
