@@ -113,7 +113,7 @@ def _services(spark, d):  # noqa: ANN001, ANN202
     return requests, W.recorded(results, documents)
 
 
-@query(f"SELECT s_suppkey AS entity, attribute, status, value, confidence, reason, n_support, n_conflict FROM {stated(PROFILE, ('attribute', 'status', 'value', 'confidence', 'reason', 'n_support', 'n_conflict'), ('value',))}")
+@query(f"SELECT s_suppkey AS entity, attribute, status, value, confidence, reason, n_support::BIGINT AS n_support, n_conflict::BIGINT AS n_conflict FROM {stated(PROFILE, ('attribute', 'status', 'value', 'confidence', 'reason', 'n_support', 'n_conflict'), ('value',))}")
 def product_workflow(spark, d):  # noqa: ANN001, ANN201
     requests, services = _services(spark, d)
     expected = requests.select("entity", F.explode(F.array(F.lit("power_w"), F.lit("has_display"))).alias("attribute"))

@@ -46,7 +46,7 @@ def _resolved(spark, d):  # noqa: ANN001, ANN202
     return V.resolve(_composed_claims(spark, d), expected, hints)
 
 
-@query(f"SELECT s_suppkey AS entity, attribute, status, value, source, confidence, reason, n_support, n_conflict FROM {stated(OUTCOMES, _OUTCOME, ('value',))}")
+@query(f"SELECT s_suppkey AS entity, attribute, status, value, source, confidence, reason, n_support::BIGINT AS n_support, n_conflict::BIGINT AS n_conflict FROM {stated(OUTCOMES, _OUTCOME, ('value',))}")
 def resolve_rules(spark, d):  # noqa: ANN001, ANN201
     return _resolved(spark, d)
 

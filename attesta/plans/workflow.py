@@ -4,6 +4,7 @@ Services are functions between tables, so any step can be replaced; a repository
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +21,66 @@ from ..operators import resolve as V
 from ..sources import html as H
 from ..sources import replay as P
 from ..sources import tables as T
+from ..streaming import state as S
+
+
+class Budget:
+    """Seconds that a run may take on the driver's clock; a batch asks before each product."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float] = time.monotonic):
+        self.clock, self.end = clock, clock() + seconds
+
+    def remaining(self) -> float:
+        return max(0.0, self.end - self.clock())
+
+    def expired(self) -> bool:
+        return self.remaining() == 0.0
+
+    def share(self, most: float) -> float:
+        """What a step may take: no more than is left."""
+        return min(most, self.remaining())
+
+
+@dataclass(frozen=True)
+class Config:
+    """How discovery runs: providers in order, results that are enough, candidates to fetch, circuit breaker."""
+
+    providers: tuple[str, ...] = ("bing", "duckduckgo_html", "duckduckgo_lite", "naver", "seznam", "google")
+    enough: int = 5
+    fetch_limit: int = 5
+    open_after: int = S.OPEN_AFTER
+    cooldown: float = S.COOLDOWN
+    most_cooldown: float = S.MOST_COOLDOWN
+
+    def __post_init__(self) -> None:
+        if self.fetch_limit < 1 or self.enough < 1 or self.open_after < 1 or not 0 < self.cooldown <= self.most_cooldown:
+            raise ValueError("limits are positive, and a cooldown is not above the most")
+
+
+SCOPES, LEVELS, PRIORITIES = ("universal", "category_specific", "discovered"), ("model_level", "variant_level", "market_level", "unknown"), ("critical", "high", "medium", "low")
+
+
+@dataclass(frozen=True)
+class Definition:
+    """An attribute of a schema, checked when made; `schema_rows` turns definitions into the table that joins read."""
+
+    canonical: str
+    aliases: tuple[str, ...] = ()
+    scope: str = "category_specific"
+    level: str = "unknown"
+    priority: str = "medium"
+    expected: bool = True
+    family: str = ""
+
+    def __post_init__(self) -> None:
+        if not self.canonical.strip() or self.scope not in SCOPES or self.level not in LEVELS or self.priority not in PRIORITIES:
+            raise ValueError(f"no valid definition: {self.canonical!r}")
+
+
+def schema_rows(spark: SparkSession, definitions: list[Definition]) -> DataFrame:
+    """place, canonical, alias (a row for each different alias, the name among them), scope, level, priority, expected, family."""
+    rows = [(k, d.canonical, a, d.scope, d.level, d.priority, d.expected, d.family) for k, d in enumerate(definitions) for a in dict.fromkeys((d.canonical.replace("_", " "), *d.aliases))]
+    return spark.createDataFrame(rows, "place int, canonical string, alias string, scope string, level string, priority string, expected boolean, family string")
 
 
 @dataclass(frozen=True)

@@ -74,3 +74,19 @@ def test_stability_asks_for_whole_runs(spark):
     assert P.stability(runs.filter("product = 'p'"), 2).first().spread == 1
     with pytest.raises(Exception, match="not in every run"):
         P.stability(runs, 2).collect()
+
+
+def test_budget_config_and_schema(spark):
+    now = [0.0]
+    b = W.Budget(10, lambda: now[0])
+    assert b.remaining() == 10 and b.share(3) == 3 and not b.expired()
+    now[0] = 12.0
+    assert b.expired() and b.share(3) == 0
+    assert W.Config().providers[0] == "bing"
+    for bad in ({"fetch_limit": 0}, {"cooldown": 500.0}):
+        with pytest.raises(ValueError, match="limits"):
+            W.Config(**bad)
+    rows = W.schema_rows(spark, [W.Definition("net_weight", ("Weight", "Weight")), W.Definition("ram", level="variant_level", expected=False)])
+    assert [(r.place, r.alias) for r in rows.collect()] == [(0, "net weight"), (0, "Weight"), (1, "ram")]
+    with pytest.raises(ValueError, match="no valid"):
+        W.Definition("x", scope="odd")
