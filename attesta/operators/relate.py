@@ -182,11 +182,12 @@ def token_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     a common word brings no pairs. What is found is counted exactly. Tokens are different ones; empty lists match nothing."""
     need = F.when(F.col("n") == 1, 1).otherwise(F.greatest(F.lit(2), F.floor((F.col("n") + 1) / 2))).cast("int")
     q = queries.filter(F.size("tokens") > 0).withColumn("n", F.size("tokens")).withColumn("required", need)
-    held = docs.select("doc", F.explode("tokens").alias("token"))
     wanted = q.select("item", "n", "required", F.explode("tokens").alias("token"))
-    seen = held.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    # Of documents only tokens that some query has go on, so what is counted at the end is short.
+    held = docs.select("doc", F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    seen = held.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "token"))
     rare = wanted.join(seen, "token", "left").withColumn("place", place).filter("place <= n - required + 1")
     pairs = rare.select("item", "token").join(held, "token").select("item", "doc").distinct()
-    both = pairs.join(q.select("item", "required", F.col("tokens").alias("own")), "item").join(docs, "doc")
+    both = pairs.join(q.select("item", "required", F.col("tokens").alias("own")), "item").join(held.groupBy("doc").agg(F.collect_set("token").alias("tokens")), "doc")
     return both.select("item", "doc", F.size(F.array_intersect("own", "tokens")).cast("long").alias("matched"), "required").filter("matched >= required")
