@@ -448,11 +448,11 @@ PROSE = (
 )
 
 
-def sibling_value(values: Column, text: Column, model: Column) -> Column:
-    """The only different value among matches, else the only one that follows the model's last word within 60 characters and without another number, else null."""
+def sibling_value(values: Column, text: Column, model: Column, pattern: str) -> Column:
+    """The only different value among matches, else the only one whose match follows the model's last word within 60 characters and without another number, else null."""
     distinct = F.array_distinct(values)
-    tail = F.element_at(F.filter(F.split(F.coalesce(model, F.lit("")), r"\s+"), lambda w: w != ""), -1)
-    near = F.filter(distinct, lambda v: F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?i)\Q"), tail, F.lit(r"\E(?![\w])[^.\d]{0,60}\Q"), v, F.lit(r"\E"))))
+    tail = F.try_element_at(F.filter(F.split(F.coalesce(model, F.lit("")), r"\s+"), lambda w: w != ""), F.lit(-1))
+    near = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?<!\w)(?i)\Q"), tail, F.lit(r"\E(?-i)(?!\w)[^.\d]{0,60}" + pattern)), 1))
     return F.when(F.size(distinct) == 1, distinct[0]).when((F.size(distinct) > 1) & (F.size(near) == 1), near[0])
 
 
@@ -461,7 +461,7 @@ def prose_facts(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
     variants too. known (entity, attribute) is left out."""
     def row(name: str, pattern: str, unit: str | None) -> Column:
         found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 1), lambda v: v)
-        return F.struct(F.lit(name).alias("attribute"), bare(sibling_value(found, F.col("text"), F.col("model"))).alias("value"), F.lit(unit).cast("string").alias("unit"))
+        return F.struct(F.lit(name).alias("attribute"), bare(sibling_value(found, F.col("text"), F.col("model"), pattern)).alias("value"), F.lit(unit).cast("string").alias("unit"))
 
     facts = pages.select("entity", F.explode(F.array(*[row(*x) for x in PROSE])).alias("f")).select("entity", "f.*").filter("value is not null").distinct()
     return facts if known is None else facts.join(known.select("entity", "attribute").distinct(), ["entity", "attribute"], "left_anti")

@@ -203,3 +203,15 @@ def test_fetched_documents(spark, tmp_path):
     spark.createDataFrame(rows, S.FETCHED).write.parquet(f"{tmp_path}/f")
     got = {(r.fetch_status, r.document_type) for r in S.fetched_documents(spark, f"{tmp_path}/f").collect()}
     assert got == {("success", "html"), ("success", "pdf"), ("not_found", "unknown"), ("blocked", "unknown"), ("error", "unknown"), ("empty", "text"), ("empty", "unknown")}
+
+
+def test_prose_of_siblings(spark):
+    """A value is the model's where the match that states it follows the model, not where its digits begin another number."""
+    from attesta.operators import sections as X
+
+    pages = [
+        (1, "Acme MX2000", "Up to 120 Hz refresh, or 90 Hz display on others. The MX2000 reaches 12000 nits, the Pro 22000 nits."),
+        (2, "Acme 9", "The Acme 9 has a 120 Hz display, the Acme 109 has a 90 Hz display."), (3, "Acme 9", "With 120 Hz refresh or 90 Hz refresh. The Acme 9 charges at 120 W."), (4, None, "5,000 mAh or 4,000 mAh"),
+    ]
+    got = X.prose_facts(spark.createDataFrame(pages, "entity long, model string, text string")).collect()
+    assert {(r.entity, r.attribute, r.value) for r in got} == {(1, "peak_brightness", "12000"), (2, "refresh_rate", "120")}
