@@ -24,6 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import encoder, scratch
 
+#: Chunks whose ids a worker remembers: half of the encoder's own number, as sorted texts are in the JVM's memory beside it.
+KEEP = 450_000
+
 # ---------------------------------------------------------------- CRC-32C (Castagnoli), many records at once
 _POLY = 0x82F63B78  # fixed value: the reflected polynomial
 _BLOCK = 256
@@ -105,14 +108,14 @@ class RecordWriter(DataSourceArrowWriter):
     def _rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
         """doc_ids and bytes of ids, of a few records at a time."""
         if self.tokenizer:
-            e = encoder(self.tokenizer, True)
+            e = encoder(self.tokenizer, True, KEEP)
             end = np.array([self.end_id], e.dtype).tobytes()
         for batch in batches:
             docs = batch.column(batch.schema.get_field_index("doc_id"))
             data = batch.column(batch.schema.get_field_index("text" if self.tokenizer else "ids"))
             for at in range(0, batch.num_rows, 512):
-                own = data.slice(at, 512).to_pylist()
-                yield docs.slice(at, 512).to_pylist(), [a.tobytes() + end for a in e.encode(own)] if self.tokenizer else own
+                own = data.slice(at, 512)
+                yield docs.slice(at, 512).to_pylist(), [a.tobytes() + end for a in e.encode(own)] if self.tokenizer else own.to_pylist()
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -222,7 +225,7 @@ def write_token_records(docs: DataFrame, path: str, tokenizer: str, end_id: int
     each other in the order of their texts; no rows give an empty manifest; other columns are not read.
     """
     docs.sparkSession.dataSource.register(TokenRecords)
-    width = encoder(tokenizer, True).dtype.itemsize
+    width = encoder(tokenizer, True, KEEP).dtype.itemsize
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.write.format("token_records").option("width", width).option("tokenizer", tokenizer).option("end_id", end_id).mode("append").save(path)
 
@@ -290,7 +293,7 @@ def record_digests(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFram
     """Write docs to a new folder in the shared one, read it back: doc_id, start, n_tokens, ids_crc32 (of u32 ids)."""
     path = scratch(docs.sparkSession, "records")
     write_token_records(docs, path, tokenizer, end_id)
-    width = encoder(tokenizer, True).dtype.itemsize
+    width = encoder(tokenizer, True, KEEP).dtype.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib

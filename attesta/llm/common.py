@@ -8,10 +8,10 @@ import tempfile
 import uuid
 from array import array
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,16 +92,31 @@ def cut_at_spaces(text: str) -> tuple[str, list[str]] | None:
     return head, rest
 
 
+def _flags(values: str | bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values.encode() if isinstance(values, str) else values)] = True
+    return out
+
+
+_LETTERS = _flags(bytes(range(65, 91)) + bytes(range(97, 123)))
+_MARKS = _flags("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")  # without ', as it may begin a contraction
+#: Second bytes of the letters from U+00C0 to U+00FF, whose first byte is C3.
+_LATIN = _flags(bytes(set(range(0x80, 0xC0)) - {0x97, 0xB7}))
+
+
 class ChunkEncoder:
     """Ids of texts from a tokenizers file, each distinct chunk of a text encoded once.
 
-    byte_level: a chunk is what follows a space, encoded with the space. Otherwise the tokenizer drops white space, and a
-    text is cut at spaces and line ends. The cache has two halves: when the young one is full it
-    becomes the old one, from which words met again move on. Both hold `keep` entries (about 200 bytes each), so memory is bounded.
+    A text is cut before its spaces and where a letter meets a mark, which the tokenizer does too. byte_level: also around a line end between two other
+    characters; a space belongs to the chunk behind it. Otherwise the tokenizer drops white space, and a line end is as good as a space.
+    Chunks are found and numbered in arrays, so a chunk costs Python's time once for each slice of texts. The cache has two halves: when the young one is full it
+    becomes the old one, from which chunks met again move on. Both hold `keep` entries (about 200 bytes each), so memory is bounded.
     """
 
-    #: Between chunks that a tokenizer without white space encodes together; one id by itself.
+    #: Between chunks that are encoded together and don't begin with a space; one id by itself.
     _BAR = "\x01"
+    #: Bytes of text whose chunks are numbered together.
+    _SLICE = 2 << 20
 
     def __init__(self, path: str, byte_level: bool, keep: int = 900_000):
         import os
@@ -117,6 +132,9 @@ class ChunkEncoder:
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.bar[self.tokenizer.encode(self._BAR, add_special_tokens=False).ids] = True
+        self.marks = _MARKS.copy()  # an added token is never cut
+        for t in self.tokenizer.get_added_tokens_decoder().values():
+            self.marks[[ord(m) for m in t.content[1:] if ord(m) < 256]] = False
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
@@ -130,7 +148,7 @@ class ChunkEncoder:
         ids = np.frombuffer(self._encode([lead + bar.join(chunks)])[0], self.dtype)
         at = np.flatnonzero(marks[ids])
         if len(at) != len(chunks) or (at[-1] != len(ids) - 1 if skip < 0 else at[0] != 0):
-            return self._encode([" " + c for c in chunks] if self.byte_level else chunks)
+            return self._encode(chunks)
         edges = np.concatenate(([0], at + 1)) if skip < 0 else np.concatenate((at, [len(ids)]))
         width, raw = self.dtype.itemsize, ids.tobytes()
         return [raw[a:b] for a, b in zip(((edges[:-1] + max(skip, 0)) * width).tolist(), (edges[1:] * width).tolist(), strict=True)]
@@ -140,35 +158,80 @@ class ChunkEncoder:
         self.cache.update((c, old[c]) for c in fresh if c in old)
         fresh = [c for c in fresh if c not in old]
         if self.byte_level:  # white space after a space may be one token with it: no text with such a chunk is cut
-            self.cache.update((c, None) for c in fresh if not c or c[0].isspace())
-            ways = [([c for c in fresh if c and not c[0].isspace()], " ", " ", self.opens, 0)]
+            spaced = [c for c in fresh if c[0] == " "]
+            self.cache.update((c, None) for c in spaced if c == " " or c[1].isspace())
+            rest = [c for c in fresh if c[0] != " "]
+            plain = [c for c in rest if c.isascii() and c.isalpha()]
+            ways = [([c for c in spaced if c != " " and not c[1].isspace()], "", "", self.opens, 0), (plain, self._BAR, self._BAR, self.bar, 1)]
+            alone = [c for c in rest if not (c.isascii() and c.isalpha())]
+            self.cache.update(zip(alone, self._encode(alone), strict=True))
         else:  # a chunk of letters is one word and has one word end
-            ways = [([c for c in fresh if c.isalpha()], "", " ", self.ends, -1), ([c for c in fresh if not c.isalpha()], self._BAR + " ", f" {self._BAR} ", self.bar, 1)]
+            words = {c: c.removeprefix(" ") for c in fresh}
+            ways = [([c for c, w in words.items() if w.isalpha()], "", " ", self.ends, -1), ([c for c, w in words.items() if not w.isalpha()], self._BAR + " ", f" {self._BAR} ", self.bar, 1)]
         for own, *way in ways:
-            for k in range(0, len(own), 4096):
-                part = own[k : k + 4096]
+            for k in range(0, len(own), 1024):
+                part = own[k : k + 1024]
                 self.cache.update(zip(part, self._together(part, *way), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of texts, and the places where those of each text begin and end."""
+        at = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        if at[0] == at[-1]:
+            return pa.array([], pa.string()), np.zeros(len(at), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+        at -= at[0]
+        line = data == 10
+        if not self.byte_level:
+            data = np.where(line, np.uint8(32), data)
+        cut = data == 32
+        letter = _LETTERS[data]
+        first = letter.copy()
+        letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        cut[1:] |= letter[:-1] & self.marks[data[1:]]
+        if self.byte_level:
+            black = letter | _MARKS[data]  # surely no white space
+            line[1:] &= black[:-1]
+            line[0] = False
+            cut |= line
+            cut[1:] |= line[:-1] & first[1:]
+        cut[at[at < len(data)]] = True
+        begins = np.flatnonzero(cut)
+        edges = np.append(begins, len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(begins), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))), np.searchsorted(begins, at)
+
+    def _slice(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.cache) > self.keep // 2:
+            self.old, self.cache = self.cache, {}
+        chunks, edges = self._chunks(texts)
+        numbered = chunks.dictionary_encode()
+        number, own, known = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self.cache
+        self._learn([c for c in own if c not in known])
+        each = [known[c] for c in own]
+        whole = []
+        if None in each:  # these texts can't be cut
+            bad = np.array([x is None for x in each])[number]
+            whole = np.unique(np.searchsorted(edges, np.flatnonzero(bad), "right") - 1).tolist()
+            each = [x or b"" for x in each]
+        ids = np.frombuffer(b"".join(each), self.dtype)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
+        size = sizes[number]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[edges].tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for k in whole:
+            out[k] = np.frombuffer(self._encode([texts[k].as_py()])[0], self.dtype)
+        return out
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """An array of ids for each text; null is an empty text."""
-        out = []
-        for at in range(0, len(texts), 64):
-            if len(self.cache) > self.keep // 2:
-                self.old, self.cache = self.cache, {}
-            some = [t or "" for t in texts[at : at + 64]]
-            chunks = [(t if self.byte_level else t.replace("\n", " ")).split(" ") for t in some]
-            heads = self._encode([c.pop(0) for c in chunks]) if self.byte_level else [b""] * len(some)
-            known, fresh = self.cache.__contains__, set()
-            for c in chunks:
-                fresh.update(filterfalse(known, c))
-            self._learn(list(fresh))
-            ids_of = self.cache.__getitem__
-            for t, head, c in zip(some, heads, chunks, strict=True):
-                try:
-                    ids = head + b"".join(map(ids_of, c))
-                except TypeError:  # a None: the text can't be cut
-                    ids = self._encode([t])[0]
-                out.append(np.frombuffer(ids, self.dtype))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        out, at = [], 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self._SLICE, "right")))
+            out += self._slice(texts.slice(at, upto - at))
+            at = upto
         return out
 
 
