@@ -45,12 +45,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, False, keep)
+        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = []
-            for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist()), strict=True):
-                all_ids = np.append(ids.astype("<u4"), np.uint32(end_id)).astype("<u4")
-                out += [{"doc_id": doc, "piece": k, "start": at, "length": min(capacity, len(all_ids) - at), "ids_crc32": zlib.crc32(all_ids[at : at + capacity].tobytes())} for k, at in enumerate(range(0, len(all_ids), capacity))]
-            yield pa.RecordBatch.from_struct_array(pa.array(out, _PIECE))
+            for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1)), strict=True):
+                raw = ids.astype("<u4").tobytes() + end
+                n = len(raw) // 4
+                out += [(doc, k, at, min(capacity, n - at), zlib.crc32(raw[4 * at : 4 * (at + capacity)])) for k, at in enumerate(range(0, n, capacity))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 5, _PIECE, strict=True)], [f.name for f in _PIECE])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
